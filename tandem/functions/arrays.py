@@ -36,7 +36,7 @@ def answer_offset(
     """Where the answer starts: after the prompt and the newlines that follow."""
     prompt_length = F.size(F.filter(prompt, lambda t: t != pad))
     after = F.slice(full, prompt_length + 1, F.size(full))
-    seen = F.transform(after, lambda t: ~t.isin(*newlines))
+    seen = F.transform(after, lambda t: ~t.isin(*newlines) if newlines else F.lit(True))
     first = F.array_position(seen, True)
     return F.least(
         prompt_length + F.when(first > 0, first - 1).otherwise(F.size(after)), F.size(full)
@@ -80,19 +80,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also when used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scaled(logits: Column, temperature: float) -> Column:
     return F.transform(logits, lambda x: x.cast("double") / temperature)
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(
-        F.aggregate(values, F.lit(0.0), lambda total, x: total + F.exp(x - top))
+    """ln of the sum of exponentials, shifted by the largest value."""
+
+    def summed(values: Column, top: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda total, x: total + F.exp(x - top))
+
+    return let(
+        values, lambda v: let(F.array_max(v), lambda top: top + F.log(summed(v, top)))
     )
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Log-probabilities of a logit vector at a temperature."""
-    values = scaled(logits, temperature)
-    shift = log_sum_exp(values)
-    return F.transform(values, lambda x: x - shift)
+    return let(
+        scaled(logits, temperature),
+        lambda v: let(log_sum_exp(v), lambda shift: F.transform(v, lambda x: x - shift)),
+    )

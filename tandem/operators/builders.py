@@ -45,14 +45,17 @@ def tokenize_pairs(
     keep: Sequence[str] = (),
     length: int = SEQUENCE_LENGTH,
     side: str = "right",
-    newlines: tuple[int, ...] = arrays.NEWLINE_IDS,
+    newlines: tuple[int, ...] | None = None,
     mask_pads: bool = False,
 ) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` of each pair.
 
     ``source`` adds ``tokenized_input``, the source text alone; ``keep`` names
-    columns of ``pairs`` to carry along.
+    columns of ``pairs`` to carry along. ``newlines`` are the ids skipped at the
+    start of an answer, by default those of one and two line ends.
     """
+    if newlines is None:
+        newlines = vocabulary.ids_of(("\n\n", "\n"))
     parts = {
         "full": chat_tokens(F.col("full_text")),
         "prompt": chat_tokens(F.col("prompt_text")),

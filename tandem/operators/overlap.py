@@ -32,35 +32,37 @@ def overlap_by_sample(
         *(FAMILIES[f][0](F.col("neutral")).alias(f"{f}_r") for f in families),
     )
 
-    def tagged(family: str, n: int, predicted: bool) -> Column:
-        tokens = F.col(f"{family}_p" if predicted else f"{family}_r")
+    measured = [(f, n) for f in families for n in FAMILIES[f][1]]
+
+    def tagged(kind: int, predicted: bool) -> Column:
+        family, n = measured[kind]
         return F.transform(
-            ngrams(tokens, n),
+            ngrams(F.col(f"{family}_p" if predicted else f"{family}_r"), n),
             lambda gram: F.struct(
-                F.lit(family).alias("family"),
-                F.lit(n).alias("n"),
+                F.lit(kind).alias("kind"),
                 gram.alias("gram"),
                 F.lit(predicted).alias("predicted"),
             ),
         )
 
-    measured = [(f, n) for f in families for n in FAMILIES[f][1]]
-    all_grams = F.concat(*(tagged(f, n, side) for f, n in measured for side in (True, False)))
+    kinds = range(len(measured))
+    all_grams = F.concat(*(tagged(kind, side) for kind in kinds for side in (True, False)))
     grams = tokenised.select(key, F.explode_outer(all_grams).alias("g")).select(key, "g.*")
-    counts = grams.groupBy(key, "family", "n", "gram").agg(
+    counts = grams.groupBy(key, "kind", "gram").agg(
         F.count_if(F.col("predicted")).alias("p"), F.count_if(~F.col("predicted")).alias("r")
     )
 
-    def total(value: Column, family: str, n: int) -> Column:
-        here = (F.col("family") == family) & (F.col("n") == n)
-        return F.sum(F.when(here, value).otherwise(F.lit(0)))
+    def total(value: Column, kind: int, part: str) -> Column:
+        family, n = measured[kind]
+        here = F.when(F.col("kind") == kind, value).otherwise(F.lit(0))
+        return F.sum(here).alias(f"{family}{n}_{part}")
 
     sums = []
-    for f, n in measured:
+    for kind in kinds:
         sums += [
-            total(F.least("p", "r"), f, n).alias(f"{f}{n}_matched"),
-            total(F.col("p"), f, n).alias(f"{f}{n}_predicted"),
-            total(F.col("r"), f, n).alias(f"{f}{n}_reference"),
+            total(F.least("p", "r"), kind, "matched"),
+            total(F.col("p"), kind, "predicted"),
+            total(F.col("r"), kind, "reference"),
         ]
     return counts.groupBy(key).agg(*sums)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tandem.functions.text import words
 from tandem.operators.overlap import f1
@@ -29,7 +30,7 @@ def _common_length(a, b) -> int:
     return len(b) - open_bits.bit_count()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays."""
     return pd.Series([_common_length(x, y) for x, y in zip(a, b)], dtype="int64")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tandem.functions.arrays import cosine
 
@@ -42,7 +43,7 @@ def _greedy_f1(a, b) -> float:
     return float(2 * precision * recall / total) if total else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def greedy_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     """Greedy-matching F1 of two arrays of token vectors."""
     return pd.Series([_greedy_f1(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +41,11 @@ class Vocabulary:
         table = build_vocabulary(tokens, column)
         return cls(table, table.count())
 
+    def ids_of(self, tokens: Sequence[str]) -> tuple[int, ...]:
+        """Ids of a few named tokens, those that occur."""
+        found = self.table.filter(F.col("token").isin(*tokens)).select("token_id")
+        return tuple(row.token_id for row in found.collect())
+
     def encode(self, df: DataFrame, key: str, parts: Mapping[str, Column]) -> DataFrame:
         """``key`` and one id array per part, each a token array of ``df``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def evaluate(
     return metrics_record(reduced.withColumn("bleu", bleu))
 
 
-def metrics_record(raw: DataFrame) -> DataFrame:
+def metrics_record(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Raw scores as the published record: percent, judge as is, missing as -1.
 
     A missing token-matching score counts as 0.
@@ -86,4 +88,4 @@ def metrics_record(raw: DataFrame) -> DataFrame:
             return F.coalesce(F.col(name), F.lit(0.0)) * 100
         return F.col(name) * 100 if name == "semantic_similarity" else F.col(name)
 
-    return raw.select(*(shown(name).cast("double").alias(name) for name in METRICS))
+    return raw.select(*keep, *(shown(name).cast("double").alias(name) for name in METRICS))

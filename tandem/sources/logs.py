@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,11 +125,16 @@ def append_rankings(ranked: DataFrame, path: str) -> None:
 
 
 def metrics_long(
-    metrics: DataFrame, run: Column, params: Mapping[str, str], tags: Mapping[str, str]
+    rows: DataFrame,
+    run: Column,
+    params: Mapping[str, str],
+    tags: Mapping[str, str],
+    metrics: Sequence[str],
 ) -> DataFrame:
-    """One-row metrics plus run settings as rows (run, kind, key, value).
+    """Metric columns and run settings as rows (run, kind, key, number, text).
 
-    Numbers are kept in ``number``, settings in ``text``.
+    ``rows`` holds one row per run, ``run`` names it. Numbers are kept in
+    ``number``, settings in ``text``.
     """
     none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
 
@@ -144,9 +149,9 @@ def metrics_long(
     entries = [
         *(entry("param", k, none_number, F.lit(v)) for k, v in params.items()),
         *(entry("tag", k, none_number, F.lit(v)) for k, v in tags.items()),
-        *(entry("metric", k, F.col(k).cast("double"), none_text) for k in metrics.columns),
+        *(entry("metric", k, F.col(k).cast("double"), none_text) for k in metrics),
     ]
-    return metrics.select(run.alias("run"), F.inline(F.array(*entries)))
+    return rows.select(run.alias("run"), F.inline(F.array(*entries)))
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:

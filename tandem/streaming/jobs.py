@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tandem.operators.enrich import MAX_CONCURRENT, Call, call_rows, latest_by_key, not_logged
+from tandem.operators.enrich import MAX_CONCURRENT, Call, call_rows, latest_by_key
 from tandem.sources.logs import scan_table
 
 SALTS = 16
@@ -114,7 +114,7 @@ def enrich_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         log = scan_table(batch.sparkSession, log_path, schema)
         earlier = log.filter(F.col("batch_id") != batch_id)
-        pending = not_logged(batch.select(key).distinct(), earlier, key)
+        pending = batch.select(key).distinct().join(earlier.select(key), key, "left_anti")
         answered = call_rows(pending, call, result, [key], max_concurrent)
         write(answered.filter("ok").drop("ok", "error"), batch_id)
 
