@@ -96,19 +96,19 @@ def rouge(spark, d):
 
 # Row by row of the subsequence table: a running maximum replaces the left neighbour.
 _LCS = f"""WITH RECURSIVE lists as (select sample_id, {r.words_sql("predicted")} as p, {r.words_sql("neutral")} as t from pred),
-  cells(sample_id, i, j, best) as (
-    select sample_id, 0::BIGINT, unnest(range(1, len(t) + 1)), 0::BIGINT from lists
+  left_words as (select sample_id, unnest(range(1, len(p) + 1)) as i, unnest(p) as word from lists),
+  cells(sample_id, i, j, word, best) as (
+    select sample_id, 0::BIGINT, unnest(range(1, len(t) + 1)), unnest(t), 0::BIGINT from lists
     union all
-    select c.sample_id, c.i + 1, c.j,
-      max(greatest(c.best, case when l.p[c.i + 1] = l.t[c.j] then c.before + 1 else 0 end))
-        over (partition by c.sample_id order by c.j)
-    from (select *, coalesce(lag(best) over (partition by sample_id order by j), 0) as before
-          from cells) c join lists l on l.sample_id = c.sample_id
-    where c.i < len(l.p)),
-  lcs as (select l.sample_id, len(p) as np, len(t) as nt,
-      coalesce((select max(best) from cells c where c.sample_id = l.sample_id and c.i = len(l.p)), 0) as m
-    from lists l),
-  rl as (select sample_id, case when m > 0 then 2.0 * m / (np + nt) else 0 end as f from lcs)"""
+    select sample_id, i + 1, j, word,
+      max(greatest(best, case when found then before + 1 else 0 end))
+        over (partition by sample_id order by j)
+    from (select c.*, l.word = c.word as found,
+            coalesce(lag(best) over (partition by c.sample_id order by j), 0) as before
+          from cells c join left_words l on l.sample_id = c.sample_id and l.i = c.i + 1)),
+  ends as (select sample_id, max(best) as m from cells group by sample_id),
+  rl as (select sample_id, case when m > 0 then 2.0 * m / (len(p) + len(t)) else 0 end as f
+         from lists left join ends using (sample_id))"""
 
 
 @register("rouge_l", sql(f'{_LCS} select sample_id, {r6("f")} as "rougeL" from rl', "pred"))
@@ -379,7 +379,7 @@ def argmax_class(spark, d):
 @register(
     "loss_summary",
     sql(
-        f"""select 'epoch' as kind, event_id // 1000 as at, {r6("avg(value)")} as loss from events group by all
+        f"""select 'epoch' as kind, event_id // 1000 as "at", {r6("avg(value)")} as loss from events group by all
             union all select 'step', event_id, {r6("value")} from events where event_id % 10 = 0"""
     ),
 )
@@ -406,11 +406,11 @@ def text_classifier(spark, d):
     "logprob_flatten",
     sql(
         f"""select t.vec_id as sample_id, 0::BIGINT as pos, c.token::VARCHAR as token,
-              {r6("c.logprob")} as logprob, t.at::BIGINT as top_idx, t.token::VARCHAR as top_token,
+              {r6("c.logprob")} as logprob, t.seq::BIGINT as top_idx, t.token::VARCHAR as top_token,
               {r6("t.logprob")} as top_logprob
-            from teach t join teach c on c.vec_id = t.vec_id and c.at = 0 where t.vec_id % 17 <> 0
+            from teach t join teach c on c.vec_id = t.vec_id and c.seq = 0 where t.vec_id % 17 <> 0
             union all select vec_id, 0, token::VARCHAR, {r6("logprob")}, null, null, null
-            from teach t where t.at = 0 and vec_id % 17 = 0""",
+            from teach t where t.seq = 0 and vec_id % 17 = 0""",
         "teach",
     ),
 )
@@ -434,7 +434,7 @@ T = distil.TEMPERATURE
 r.cte("entries", f"select *, exp(logprob / {T}) as p from teach", "teach")
 r.cte(
     "dist",
-    """select vec_id, sample_id, pos, token, arg_max(p, at) as p from entries group by all""",
+    """select vec_id, sample_id, pos, token, arg_max(p, seq) as p from entries group by all""",
     "entries",
 )
 r.cte(
@@ -463,8 +463,7 @@ def teacher_distribution(spark, d):
 
 r.cte(
     "soft",
-    f"""select vec_id, token, z / {T} - (max(z / {T}) over w
-          + ln(sum(exp(z / {T})) over w) - max(z / {T}) over w) as s
+    f"""select vec_id, token, z / {T} - ln(sum(exp(z / {T})) over w) as s
         from logit_rows window w as (partition by vec_id)""",
     "logit_rows",
 )

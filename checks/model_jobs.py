@@ -156,9 +156,9 @@ def _respond(row: dict) -> dict:
 @register(
     "sample_fanout",
     sql(
-        f"""select sample_id, t.at::BIGINT as temp_idx,
+        f"""select sample_id, t.seq::BIGINT as temp_idx,
               regexp_replace(t.name || ' ' || biased, '^\\s+|\\s+$', '', 'g') as response
-            from clean, (values (0, '0.7'), (1, '1.0'), (2, '1.5')) t(at, name)""",
+            from clean, (values (0, '0.7'), (1, '1.0'), (2, '1.5')) t(seq, name)""",
         "clean",
     ),
 )

@@ -164,7 +164,7 @@ cte(
 )
 cte(
     "judged",
-    f"""select sample_id, id as at, id, {h_sql("sample_id || '|rank|' || id")} % 4 as rank
+    f"""select sample_id, id as seq, id, {h_sql("sample_id || '|rank|' || id")} % 4 as rank
           from cands where {h_sql("sample_id || '|miss|' || id")} % 11 <> 0 and sample_id % 13 <> 0
         union all
         select sample_id, 10, 9, 0 from clean where sample_id % 5 = 0 and sample_id % 13 <> 0
@@ -177,7 +177,7 @@ cte(
 cte(
     "merged",
     """select c.*, coalesce(j.rank, c.id) as judge_rank from cands c
-       left join (select sample_id, id, arg_max(rank, at) as rank from judged group by all) j
+       left join (select sample_id, id, arg_max(rank, seq) as rank from judged group by all) j
          on j.sample_id = c.sample_id and j.id = c.id""",
     "cands",
     "judged",
@@ -190,7 +190,7 @@ cte(
 )
 cte(
     "said",
-    """select sample_id, at, id, rank from judged
+    """select sample_id, seq, id, rank from judged
        union all select sample_id, id, id, id from cands where sample_id % 13 = 0""",
     "judged",
     "cands",
@@ -273,21 +273,21 @@ cte(
 )
 cte(
     "logprob_rows",
-    """select vec_id, token, z - (max(z) over w + ln(sum(exp(z)) over w)) as logprob,
-         row_number() over (partition by vec_id order by z desc, token) - 1 as at
+    """select vec_id, token, z - ln(sum(exp(z)) over w) as logprob,
+         row_number() over (partition by vec_id order by z desc, token) - 1 as seq
        from logit_rows window w as (partition by vec_id)""",
     "logit_rows",
 )
 # The teacher of vector v is vector v+1; every third one repeats a token.
 cte(
     "teach",
-    f"""select n.vec_id, n.vec_id // 5 as sample_id, n.vec_id % 5 as pos, p.at, p.token, p.logprob
+    f"""select n.vec_id, n.vec_id // 5 as sample_id, n.vec_id % 5 as pos, p.seq, p.token, p.logprob
         from nexts n join logprob_rows p
-          on p.vec_id = (n.vec_id + 1) % (select count(*) from vecs) and p.at < {TOP}
+          on p.vec_id = (n.vec_id + 1) % (select count(*) from vecs) and p.seq < {TOP}
         union all
         select n.vec_id, n.vec_id // 5, n.vec_id % 5, {TOP}, p.token, p.logprob - 0.5
         from nexts n join logprob_rows p
-          on p.vec_id = (n.vec_id + 1) % (select count(*) from vecs) and p.at = 2
+          on p.vec_id = (n.vec_id + 1) % (select count(*) from vecs) and p.seq = 2
         where n.vec_id % 3 = 0""",
     "nexts",
     "logprob_rows",

@@ -160,8 +160,8 @@ def _teacher_log(spark, d) -> str:
 @register(
     "scan_teacher",
     sql(
-        f"""select 'text ' || vec_id as biased_text, max(case when at = 0 then token end)::VARCHAR as token,
-            {r6("max(case when at = 0 then logprob end)")} as logprob, count(*) as tops
+        f"""select 'text ' || vec_id as biased_text, max(case when seq = 0 then token end)::VARCHAR as token,
+            {r6("max(case when seq = 0 then logprob end)")} as logprob, count(*) as tops
             from teach where vec_id % 17 <> 0 and vec_id % 19 <> 0 and vec_id % 23 <> 0
             group by vec_id""",
         "teach",

@@ -19,7 +19,7 @@ from tandem.functions.text import (
 )
 from tandem.operators.builders import build_dpo, build_grpo, label_texts
 
-# Turns as rows: (sample_id, at, role, content).
+# Turns as rows: (sample_id, seq, role, content).
 _SYSTEM = text_sql(fixed.SYSTEM_PROMPT)
 _TRAIN = fill_sql(fixed.TRAINING_USER, text="biased")
 
@@ -27,7 +27,7 @@ _TRAIN = fill_sql(fixed.TRAINING_USER, text="biased")
 def turns_sql(*turns: tuple[str, str]) -> str:
     return sql(
         " union all ".join(
-            f"select sample_id, {at}::BIGINT as at, '{role}' as role, {content} as content from clean"
+            f"select sample_id, {at}::BIGINT as seq, '{role}' as role, {content} as content from clean"
             for at, (role, content) in enumerate(turns)
         ),
         "clean",
@@ -35,8 +35,8 @@ def turns_sql(*turns: tuple[str, str]) -> str:
 
 
 def turn_rows(df, chat="prompt"):
-    return df.select("sample_id", F.posexplode(chat).alias("at", "turn")).select(
-        "sample_id", "at", "turn.role", "turn.content"
+    return df.select("sample_id", F.posexplode(chat).alias("seq", "turn")).select(
+        "sample_id", "seq", "turn.role", "turn.content"
     )
 
 

@@ -274,7 +274,7 @@ def rank_sort(spark, d):
 
 
 _FIRST_BY = """(select id from said s where s.sample_id = c.sample_id
-                 order by rank {}, at limit 1)"""
+                 order by rank {}, seq limit 1)"""
 
 
 @register(
@@ -294,7 +294,7 @@ def rank_extremes(spark, d):
     )
 
 
-_GT = "(select rank from said s where s.sample_id = c.sample_id and id = 0 order by at limit 1)"
+_GT = "(select rank from said s where s.sample_id = c.sample_id and id = 0 order by seq limit 1)"
 
 
 @register("gt_rank", sql(f"select sample_id, {_GT} as gt_rank from clean c", "said"))
@@ -323,7 +323,7 @@ def gt_win_rate(spark, d):
     "rank_fallback",
     sql(
         """select sample_id, sample_id % 13 = 0 as fallback,
-             string_agg(id || ':' || rank, ',' order by at) as judged
+             string_agg(id || ':' || rank, ',' order by seq) as judged
            from said group by sample_id""",
         "said",
     ),
@@ -339,7 +339,7 @@ def rank_fallback(spark, d):
     sql(
         """WITH o as (select sample_id, biased, list({'id': id, 'text': text, 'original_rank': id}
                order by id) as original_list from cands group by sample_id, biased),
-             j as (select sample_id, list({'id': id, 'judge_rank': rank} order by rank desc, at)
+             j as (select sample_id, list({'id': id, 'judge_rank': rank} order by rank desc, seq)
                as judge_sorted_list from said group by sample_id)
            select sample_id, to_json({'biased_text': biased, 'original_list': original_list,
                'judge_sorted_list': coalesce(judge_sorted_list, []),

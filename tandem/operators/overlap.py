@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.text import ngrams, tokens_13a, words
+from tandem.operators.skew import placed_by
 
 BLEU_ORDERS = (1, 2, 3, 4)
 ROUGE_ORDERS = (1, 2)
@@ -25,7 +26,7 @@ def overlap_by_sample(
     their key once; the n-grams, several times larger, are counted where they
     are made (both groupings below are covered by the partitioning on ``key``).
     """
-    placed = texts.select(key, "predicted", "neutral").repartition(key)
+    placed = placed_by(texts.select(key, "predicted", "neutral"), key)
     tokenised = placed.select(
         key,
         *(FAMILIES[f][0](F.col("predicted")).alias(f"{f}_p") for f in families),

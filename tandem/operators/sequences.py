@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 from tandem.functions.text import words
 from tandem.operators.overlap import f1
-from tandem.operators.skew import lookup_join
+from tandem.operators.skew import lookup_join, placed_by
 
 # METEOR weights.
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
@@ -58,7 +58,7 @@ def meteor_by_sample(
     one class per word, then matches leftover words of equal class the same way,
     for instance by stem. All groupings start with ``key``, so texts move once.
     """
-    placed = texts.select(key, "predicted", "neutral").repartition(key)
+    placed = placed_by(texts.select(key, "predicted", "neutral"), key)
 
     def side(text: str, predicted: bool) -> Column:
         return F.transform(

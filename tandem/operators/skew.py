@@ -12,6 +12,16 @@ SPREAD = 32
 BROADCAST_ROWS = 200_000
 
 
+def placed_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by ``key`` over the configured number of shuffle partitions.
+
+    For narrow rows that are about to be unfolded many times over: the count is
+    fixed so that adaptive execution does not merge them by their size now.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key)
+
+
 def hot_hashes(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
     """Hashes of the most frequent keys: at most ``HOT_KEYS`` rows of 8 bytes.
 

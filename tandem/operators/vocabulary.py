@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.ordinals import with_ordinals
-from tandem.operators.skew import lookup_join
+from tandem.operators.skew import lookup_join, placed_by
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
@@ -54,19 +54,18 @@ class Vocabulary:
         return to one array, which is as long as the text was.
         """
         names = list(parts)
-        tagged = F.concat(
-            *(
-                F.transform(
-                    parts[name],
-                    lambda token, pos, at=at: F.struct(
-                        F.lit(at).alias("part"), pos.alias("pos"), token.alias("token")
-                    ),
-                )
-                for at, name in enumerate(names)
+
+        def tagged(part: int) -> Column:
+            return F.transform(
+                parts[names[part]],
+                lambda token, pos: F.struct(
+                    F.lit(part).alias("part"), pos.alias("pos"), token.alias("token")
+                ),
             )
-        )
+
+        tokens = F.concat(*(tagged(part) for part in range(len(names))))
         # Texts move once, by key: with a broadcast vocabulary nothing moves after.
-        rows = df.repartition(key).select(key, F.explode_outer(tagged).alias("t"))
+        rows = placed_by(df, key).select(key, F.explode_outer(tokens).alias("t"))
         rows = rows.select(key, "t.part", "t.pos", "t.token")
         found = lookup_join(
             rows,

@@ -57,6 +57,7 @@ def scan_corpus(spark: SparkSession, path: str, quote: str = "") -> DataFrame:
         .option("quote", quote)
         .option("escape", quote)
         .option("columnNameOfCorruptRecord", _BAD)
+        .option("columnPruning", "false")  # field counts need the whole line
         .csv(path)
     )
     return rows.filter(~_too_long(quote)).drop(_BAD)
