@@ -74,10 +74,10 @@ def resume_anti_join(spark, d):
 @register(
     "latest_by_key",
     sql(
-        """select distinct on (input) input, revision::BIGINT as revision, response from logged
-           order by input, revision desc""",
+        """select input, max(revision) as revision, arg_max(response, revision) as response
+           from logged group by input""",
         "logged",
-    ).replace("distinct on (input) ", "distinct "),
+    ),
 )
 def latest_by_key(spark, d):
     log = r.log_rows(spark, d).select("input", "response", "revision")
@@ -129,7 +129,7 @@ def resume_union(spark, d):
     sql(
         f"""select sample_id, biased, case
               when biased in (select input from logged)
-                then (select max(response) from logged l where l.input = biased and revision = 2)
+                then (select arg_max(response, revision) from logged l where l.input = biased)
               when {_ANSWERED} then {r.ANSWER_SQL.format("biased")} end as response
             from pairs""",
         "pairs",

@@ -387,7 +387,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cte(
     "logged",
-    """select biased as input, r as revision, sample_id,
+    """select biased as input, r * 1000000000 + sample_id as revision, sample_id,
          'answer ' || r || ' ' || sample_id as response
        from pairs, (values (1), (2)) v(r) where sample_id % 3 = 0""",
     "pairs",
@@ -395,16 +395,21 @@ cte(
 
 
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A resume log holding a third of the pairs, each twice."""
+    """A resume log holding a third of the pairs, each twice; revisions are unique."""
     return (
         pairs(spark, sf_dir)
         .filter("sample_id % 3 = 0")
         .select(
             F.col("biased").alias("input"),
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("revision"),
+            F.explode(F.array(F.lit(1), F.lit(2))).alias("r"),
             "sample_id",
         )
-        .withColumn("response", F.format_string("answer %d %d", "revision", "sample_id"))
+        .select(
+            "input",
+            (F.col("r") * F.lit(1_000_000_000).cast("bigint") + F.col("sample_id")).alias("revision"),
+            "sample_id",
+            F.format_string("answer %d %d", "r", "sample_id").alias("response"),
+        )
     )
 
 

@@ -60,20 +60,12 @@ def salted_join(
     def flagged(df: DataFrame) -> DataFrame:
         return df.join(hot, F.xxhash64(*keys) == F.col("_hash"), "left")
 
+    none, last = F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")
     salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(SPREAD))
-    salted_left = (
-        flagged(left)
-        .withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hash")
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        flagged(right)
-        .withColumn("_salt", F.explode(copies).cast("bigint"))
-        .drop("_hash")
-    )
+    salted_left = flagged(left).withColumn("_salt", F.when(is_hot, salt).otherwise(none))
+    copies = F.when(is_hot, F.sequence(none, last)).otherwise(F.array(none))
+    salted_right = flagged(right).withColumn("_salt", F.explode(copies))
+    salted_left, salted_right = salted_left.drop("_hash"), salted_right.drop("_hash")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
