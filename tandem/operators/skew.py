@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_KEYS = 1000
 SPREAD = 32
+HOT_ROWS = 100_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def placed_by(df: DataFrame, key: str) -> DataFrame:
@@ -22,20 +25,20 @@ def placed_by(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(parts, key)
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    """Hashes of the most frequent keys: at most ``HOT_KEYS`` rows of 8 bytes.
+def hot_hashes(df: DataFrame, keys: Sequence[str], min_rows: int) -> list[int]:
+    """Hashes of the most frequent keys: at most ``HOT_KEYS`` numbers.
 
     Every key holding over 1/HOT_KEYS of the rows is among them. The count
-    combines on the map side; only the key columns are read.
+    combines on the map side, and only the key columns are read.
     """
-    return (
-        df.groupBy(F.xxhash64(*keys).alias("_hash"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), "_hash")
+    hottest = (
+        df.groupBy(F.xxhash64(*keys).alias("hash"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter(F.col("rows") >= min_rows)
+        .orderBy(F.desc("rows"), "hash")
         .limit(HOT_KEYS)
-        .select("_hash")
     )
+    return [row.hash for row in hottest.collect()]
 
 
 def salted_join(
@@ -43,7 +46,7 @@ def salted_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    min_rows: int = 100_000,
+    min_rows: int = HOT_ROWS,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join in which frequent left keys are split over ``SPREAD`` tasks.
@@ -51,37 +54,46 @@ def salted_join(
     ``right`` must hold few rows per key (it is repeated ``SPREAD`` times for
     the frequent keys only). ``spread_by`` names left columns that tell rows of
     one key apart; the salt is a hash of them, so a retried task makes the same
-    choice. ``how`` is one of inner, left, left_semi, left_anti.
+    choice. ``how`` is one of inner, left, left_semi, left_anti. Without a key of
+    ``min_rows`` rows it is a plain join.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_hashes(left, keys, min_rows))
-    is_hot = F.col("_hash").isNotNull()
-
-    def flagged(df: DataFrame) -> DataFrame:
-        return df.join(hot, F.xxhash64(*keys) == F.col("_hash"), "left")
-
+    hot = hot_hashes(left, keys, min_rows)
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
     none, last = F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")
     salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(SPREAD))
-    salted_left = flagged(left).withColumn("_salt", F.when(is_hot, salt).otherwise(none))
     copies = F.when(is_hot, F.sequence(none, last)).otherwise(F.array(none))
-    salted_right = flagged(right).withColumn("_salt", F.explode(copies))
-    salted_left, salted_right = salted_left.drop("_hash"), salted_right.drop("_hash")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return (
+        left.withColumn("_salt", F.when(is_hot, salt).otherwise(none))
+        .join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how)
+        .drop("_salt")
+    )
+
+
+def small_enough(table: DataFrame) -> bool:
+    """True when a table of plain columns is counted to be fit for broadcasting."""
+    plain = (T.StringType, T.BooleanType, T.NumericType, T.DatetimeType)
+    if not all(isinstance(field.dataType, plain) for field in table.schema):
+        return False
+    texts = [f.name for f in table.schema if isinstance(f.dataType, T.StringType)]
+    width = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
+    counted = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes"),
+    ).first()
+    return counted.rows <= BROADCAST_ROWS and counted.bytes <= BROADCAST_BYTES
 
 
 def lookup_join(
     left: DataFrame,
     table: DataFrame,
     keys: Sequence[str],
-    table_rows: int | None = None,
     how: str = "left",
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join to a key-unique table: broadcast while it is small, salted beyond.
-
-    ``table_rows`` is the table's counted size; it is counted here if absent.
-    """
-    rows = table.count() if table_rows is None else table_rows
-    if rows <= BROADCAST_ROWS:
+    """Join to a key-unique table: broadcast when counted small, salted otherwise."""
+    if small_enough(table):
         return left.join(F.broadcast(table), list(keys), how)
     return salted_join(left, table, keys, how, spread_by=spread_by)

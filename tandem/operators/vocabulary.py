@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.ordinals import with_ordinals
-from tandem.operators.skew import lookup_join, placed_by
+from tandem.operators.skew import placed_by, salted_join
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
+# The broadcast part of a vocabulary: at most so many tokens of so many characters.
+HEAD_ROWS, HEAD_LENGTH = 200_000, 64
+
 
 def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """(token, n, token_id) of an array column, most frequent token first.
@@ -29,17 +32,22 @@ def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     return numbered.select("token", "n", (F.col("_rank") + FIRST_ID).alias("token_id"))
 
 
+def _in_head() -> Column:
+    """Frequent tokens of bounded length: at most ``HEAD_ROWS`` short rows."""
+    return (F.col("token_id") < FIRST_ID + HEAD_ROWS) & (F.length("token") <= HEAD_LENGTH)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """A built vocabulary with its counted size."""
+    """A built vocabulary and the number of its tokens that are not in the head."""
 
     table: DataFrame
-    rows: int
+    tail_rows: int
 
     @classmethod
     def of(cls, tokens: DataFrame, column: str = "tokens") -> "Vocabulary":
         table = build_vocabulary(tokens, column)
-        return cls(table, table.count())
+        return cls(table, table.filter(~_in_head()).count())
 
     def ids_of(self, tokens: Sequence[str]) -> tuple[int, ...]:
         """Ids of a few named tokens, those that occur."""
@@ -49,9 +57,9 @@ class Vocabulary:
     def encode(self, df: DataFrame, key: str, parts: Mapping[str, Column]) -> DataFrame:
         """``key`` and one id array per part, each a token array of ``df``.
 
-        All parts are looked up in one pass. The vocabulary is broadcast while
-        small; beyond that the join salts its frequent tokens. A text's ids
-        return to one array, which is as long as the text was.
+        The most frequent tokens are broadcast, a bounded number of bounded
+        length; rows of the others, if any, are joined by a shuffle. A text's ids return
+        to one array, which is as long as the text was.
         """
         names = list(parts)
 
@@ -64,16 +72,17 @@ class Vocabulary:
             )
 
         tokens = F.concat(*(tagged(part) for part in range(len(names))))
-        # Texts move once, by key: with a broadcast vocabulary nothing moves after.
+        # Texts move once, by key; tokens of the head stay where they are made.
         rows = placed_by(df, key).select(key, F.explode_outer(tokens).alias("t"))
         rows = rows.select(key, "t.part", "t.pos", "t.token")
-        found = lookup_join(
-            rows,
-            self.table.select("token", "token_id"),
-            ["token"],
-            self.rows,
-            spread_by=[key, "pos"],
-        )
+        ids = self.table.select("token", "token_id")
+        found = rows.join(F.broadcast(ids.filter(_in_head())), "token", "left")
+        if self.tail_rows:
+            open_ = F.col("token_id").isNull() & F.col("token").isNotNull()
+            rest = found.filter(open_).drop("token_id")
+            tail = ids.filter(~_in_head())
+            looked_up = salted_join(rest, tail, ["token"], spread_by=[key, "part", "pos"])
+            found = found.filter(~open_).unionByName(looked_up)
         item = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
         collected = found.groupBy(key).agg(
             *(
