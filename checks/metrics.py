@@ -456,7 +456,7 @@ r.cte(
 def teacher_distribution(spark, d):
     return (
         distil.teacher_distribution(r.teacher(spark, d))
-        .select("vec_id", "coverage", F.explode("dist").alias("e"))
+        .select("vec_id", "coverage", F.explode_outer("dist").alias("e"))
         .select("vec_id", "e.token", "e.p", "coverage")
     )
 

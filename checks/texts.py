@@ -35,7 +35,7 @@ def turns_sql(*turns: tuple[str, str]) -> str:
 
 
 def turn_rows(df, chat="prompt"):
-    return df.select("sample_id", F.posexplode(chat).alias("seq", "turn")).select(
+    return df.select("sample_id", F.posexplode_outer(chat).alias("seq", "turn")).select(
         "sample_id", "seq", "turn.role", "turn.content"
     )
 

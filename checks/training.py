@@ -255,7 +255,7 @@ def _ranked(spark, d):
 
 @register("candidates", sql("select sample_id, id, id as rank, text from cands", "cands"))
 def candidates(spark, d):
-    return r.ranked_input(spark, d).select("sample_id", F.inline("candidates"))
+    return r.ranked_input(spark, d).select("sample_id", F.inline_outer("candidates"))
 
 
 @register(
@@ -263,12 +263,12 @@ def candidates(spark, d):
     sql("select sample_id, id, id as original_rank, judge_rank, text from merged", "merged"),
 )
 def rank_merge(spark, d):
-    return _ranked(spark, d).select("sample_id", F.inline("merged"))
+    return _ranked(spark, d).select("sample_id", F.inline_outer("merged"))
 
 
 @register("rank_sort", sql("select sample_id, place, id, judge_rank, text from places", "places"))
 def rank_sort(spark, d):
-    return _ranked(spark, d).select("sample_id", F.posexplode("ranked").alias("place", "c")).select(
+    return _ranked(spark, d).select("sample_id", F.posexplode_outer("ranked").alias("place", "c")).select(
         "sample_id", "place", "c.id", "c.judge_rank", "c.text"
     )
 

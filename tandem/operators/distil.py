@@ -21,7 +21,8 @@ COVERAGE, POSITION_COVERAGE, FLOOR = 0.8, 0.5, 1e-8
 def flatten_logprobs(responses: DataFrame, key: str = "sample_id") -> DataFrame:
     """One row per position and top entry; positions without a top list stay once."""
     return (
-        responses.select(key, F.posexplode("logprobs").alias("pos", "chosen"))
+        responses.select(key, F.posexplode_outer("logprobs").alias("pos", "chosen"))
+        .filter(F.col("pos").isNotNull())
         .select(
             key,
             "pos",

@@ -13,31 +13,60 @@ from tandem.session import stage
 _ROW_BITS = 33
 
 
-def with_ordinals(
-    df: DataFrame, order: Sequence[Column | str], name: str = "row_idx"
-) -> DataFrame:
-    """Number rows 0, 1, 2, ... in a total ``order`` (ties are not allowed).
+def _laid_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` range-partitioned and sorted, written once so that the layout is fixed.
 
-    Rows are range-partitioned and sorted, then written once so that the layout
-    is fixed. A row's number is its place in its partition plus the rows of the
-    partitions before it; only that list of partition sizes is summed centrally.
+    ``_part`` is a row's partition and ``_place`` its place there, from 0.
     """
-    laid_out = stage(
+    placed = stage(
         df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordinals"
     )
-    part = F.shiftright("_at", _ROW_BITS)
-    sizes = laid_out.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per shuffle partition: bounded by configuration, not by the data.
+    return placed.withColumns(
+        {
+            "_part": F.shiftright("_at", _ROW_BITS),
+            "_place": F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+        }
+    ).drop("_at")
+
+
+def _sums_before(laid_out: DataFrame, value: Column) -> DataFrame:
+    """(_part, _offset): the total of ``value`` over all earlier partitions.
+
+    One row per shuffle partition, so bounded by configuration, not by the data;
+    only these are summed in one task, and they may be broadcast.
+    """
+    sums = laid_out.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+
+
+def with_ordinals(
+    df: DataFrame, order: Sequence[Column | str], name: str = "row_idx"
+) -> DataFrame:
+    """Number rows 0, 1, 2, ... in a total ``order`` (ties are not allowed)."""
+    laid_out = _laid_out(df, order)
+    offsets = _sums_before(laid_out, F.lit(1))
+    return (
+        laid_out.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_place"))
+        .drop("_part", "_place", "_offset")
+    )
+
+
+def with_running_total(
+    df: DataFrame, order: Sequence[Column | str], value: str, name: str
+) -> DataFrame:
+    """Add the total of ``value`` over all rows before each one in a total ``order``."""
+    laid_out = _laid_out(df, order)
+    offsets = _sums_before(laid_out, F.col(value))
+    inside = (
+        Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     )
-    place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        laid_out.withColumn("_part", part)
+        laid_out.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + place)
-        .drop("_part", "_offset", "_at")
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_part", "_place", "_offset")
     )
 
 
@@ -46,7 +75,7 @@ def with_file_ordinals(df: DataFrame, name: str = "row_idx") -> DataFrame:
 
     ``df`` must be a bare file scan. Rows of one block keep their order within a
     task, so a row's number is its distance from the block's first row plus the
-    rows of all earlier blocks. The summary holds one row per file block.
+    rows of all earlier blocks. Only the summary, one row per block, is sorted.
     """
     block = ["_path", "_start"]
     numbered = df.select(
@@ -58,27 +87,11 @@ def with_file_ordinals(df: DataFrame, name: str = "row_idx") -> DataFrame:
     blocks = numbered.groupBy(*block).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")
     )
-    in_file = (
-        Window.partitionBy("_path")
-        .orderBy("_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    files = blocks.groupBy("_path").agg(F.sum("_rows").alias("_file_rows"))
-    # One row per file.
-    across = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-    file_offsets = files.select(
-        "_path", F.coalesce(F.sum("_file_rows").over(across), F.lit(0)).alias("_before")
-    )
-    offsets = blocks.join(file_offsets, "_path").select(
-        *block,
-        (
-            F.col("_before")
-            + F.coalesce(F.sum("_rows").over(in_file), F.lit(0))
-            - F.col("_first")
-        ).alias("_shift"),
+    offsets = with_running_total(blocks, block, "_rows", "_before").select(
+        *block, (F.col("_before") - F.col("_first")).alias("_shift")
     )
     return (
         numbered.join(offsets, block)
         .withColumn(name, F.col("_at") + F.col("_shift"))
-        .drop("_path", "_start", "_at", "_shift")
+        .drop(*block, "_at", "_shift")
     )

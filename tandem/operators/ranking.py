@@ -82,9 +82,14 @@ def rank_candidates(df: DataFrame) -> DataFrame:
 
 def rank_rows(ranked: DataFrame) -> DataFrame:
     """Log rows, one per candidate."""
-    return ranked.select(
-        "iteration", "sample_idx", F.col("biased").alias("biased_text"), F.explode("merged").alias("c")
-    ).select(
+    # The outer form: the plain one adds a size filter that merges the ranks twice.
+    rows = ranked.select(
+        "iteration",
+        "sample_idx",
+        F.col("biased").alias("biased_text"),
+        F.explode_outer("merged").alias("c"),
+    )
+    return rows.filter(F.col("c").isNotNull()).select(
         "iteration",
         "sample_idx",
         "biased_text",

@@ -24,7 +24,9 @@ def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     occurrences costs one row per task.
     """
     counts = (
-        tokens.select(F.explode(column).alias("token"))
+        # The outer form: the plain one adds a size filter that tokenises twice.
+        tokens.select(F.explode_outer(column).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
