@@ -1,4 +1,4 @@
-"""Text expressions: tag removal, tokens, n-grams, path slugs."""
+"""Text expressions: tag removal, tokens, path slugs."""
 
 from __future__ import annotations
 
@@ -99,12 +99,3 @@ def tokens_13a(text: Column) -> Column:
 def chat_tokens(text: Column) -> Column:
     """Tokens of a rendered chat, with tags and newline runs as tokens."""
     return F.regexp_extract_all(text, F.lit(CHAT_TOKEN_PATTERN), F.lit(0))
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens joined by a space; empty when too short."""
-    count = F.size(tokens) - F.lit(n - 1)
-    runs = F.transform(
-        F.sequence(F.lit(1), count), lambda at: F.array_join(F.slice(tokens, at, n), " ")
-    )
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.text import ngrams, tokens_13a, words
+from tandem.functions.text import tokens_13a, words
 from tandem.operators.skew import placed_by
 
 BLEU_ORDERS = (1, 2, 3, 4)
 ROUGE_ORDERS = (1, 2)
 
-# name -> (tokeniser, n-gram orders)
+# name -> (tokeniser, n-gram orders from 1 up)
 FAMILIES = {"bleu": (tokens_13a, BLEU_ORDERS), "rouge": (words, ROUGE_ORDERS)}
 
 
@@ -23,48 +23,62 @@ def overlap_by_sample(
     """Per sample: matched, predicted and reference n-grams of every family and order.
 
     ``texts`` holds ``key``, ``predicted`` and ``neutral``. Texts are moved to
-    their key once; the n-grams, several times larger, are counted where they
-    are made (both groupings below are covered by the partitioning on ``key``).
+    their key once; tokens, and the n-grams built from each and its successors,
+    stay where they are made (the window and both groupings start with ``key``).
     """
     placed = placed_by(texts.select(key, "predicted", "neutral"), key)
-    tokenised = placed.select(
-        key,
-        *(FAMILIES[f][0](F.col("predicted")).alias(f"{f}_p") for f in families),
-        *(FAMILIES[f][0](F.col("neutral")).alias(f"{f}_r") for f in families),
-    )
-
-    measured = [(f, n) for f in families for n in FAMILIES[f][1]]
 
-    def tagged(kind: int, predicted: bool) -> Column:
-        family, n = measured[kind]
+    def tokens(family: int, text: str) -> Column:
         return F.transform(
-            ngrams(F.col(f"{family}_p" if predicted else f"{family}_r"), n),
-            lambda gram: F.struct(
-                F.lit(kind).alias("kind"),
-                gram.alias("gram"),
-                F.lit(predicted).alias("predicted"),
+            FAMILIES[families[family]][0](F.col(text)),
+            lambda token, pos: F.struct(
+                F.lit(family).alias("family"),
+                F.lit(text == "predicted").alias("predicted"),
+                pos.alias("pos"),
+                token.alias("token"),
             ),
         )
 
-    kinds = range(len(measured))
-    all_grams = F.concat(*(tagged(kind, side) for kind in kinds for side in (True, False)))
-    grams = tokenised.select(key, F.explode_outer(all_grams).alias("g")).select(key, "g.*")
-    counts = grams.groupBy(key, "kind", "gram").agg(
-        F.count_if(F.col("predicted")).alias("p"), F.count_if(~F.col("predicted")).alias("r")
+    sides = [(f, text) for f in range(len(families)) for text in ("predicted", "neutral")]
+    # The outer form keeps samples without a token, as one row of nulls.
+    rows = placed.select(
+        key, F.explode_outer(F.concat(*(tokens(*side) for side in sides))).alias("t")
+    ).select(key, "t.*")
+
+    in_order = Window.partitionBy(key, "family", "predicted").orderBy("pos")
+    orders = {f: FAMILIES[name][1] for f, name in enumerate(families)}
+    gram, grams = F.col("token"), []
+    for n in range(1, max(max(wanted) for wanted in orders.values()) + 1):
+        if n > 1:
+            gram = F.concat(gram, F.lit(" "), F.lead("token", n - 1).over(in_order))
+        used = F.col("family").isin(*(f for f, wanted in orders.items() if n in wanted))
+        grams.append((n, gram if n == 1 else F.when(used, gram)))
+    with_grams = rows.select(
+        key, "family", "predicted", *(column.alias(f"gram{n}") for n, column in grams)
+    )
+    unfolded = F.array(
+        *(F.struct(F.lit(n).alias("n"), F.col(f"gram{n}").alias("gram")) for n, _ in grams)
+    )
+    counts = (
+        with_grams.select(key, "family", "predicted", F.inline(unfolded))
+        .filter(F.col("gram").isNotNull() | (F.col("n") == 1))
+        .groupBy(key, "family", "n", "gram")
+        .agg(F.count_if(F.col("predicted")).alias("p"), F.count_if(~F.col("predicted")).alias("r"))
     )
 
-    def total(value: Column, kind: int, part: str) -> Column:
-        family, n = measured[kind]
-        here = F.when(F.col("kind") == kind, value).otherwise(F.lit(0))
-        return F.sum(here).alias(f"{family}{n}_{part}")
+    def total(value: Column, family: int, n: int, part: str) -> Column:
+        here = (F.col("family") == family) & (F.col("n") == n)
+        named = f"{families[family]}{n}_{part}"
+        return F.sum(F.when(here, value).otherwise(F.lit(0))).alias(named)
 
     sums = []
-    for kind in kinds:
-        sums += [
-            total(F.least("p", "r"), kind, "matched"),
-            total(F.col("p"), kind, "predicted"),
-            total(F.col("r"), kind, "reference"),
-        ]
+    for family, wanted in orders.items():
+        for n in wanted:
+            sums += [
+                total(F.least("p", "r"), family, n, "matched"),
+                total(F.col("p"), family, n, "predicted"),
+                total(F.col("r"), family, n, "reference"),
+            ]
     return counts.groupBy(key).agg(*sums)
 
 

@@ -77,12 +77,6 @@ def test_tokens_13a(spark, text, wanted):
     assert one(spark, text, tx.tokens_13a) == wanted
 
 
-def test_ngrams(spark):
-    rows = spark.createDataFrame([(["a", "b", "c"],), ([],)], "t array<string>")
-    got = rows.select(tx.ngrams(F.col("t"), 2).alias("g"), tx.ngrams(F.col("t"), 4).alias("h"))
-    assert [(r.g, r.h) for r in got.collect()] == [(["a b", "b c"], []), ([], [])]
-
-
 @pytest.mark.parametrize("text", ["plain", "it's", 'say "x"', 'both \' and "', "tab\tnl\nback\\"])
 def test_quoted_is_a_python_literal(spark, text):
     assert one(spark, text, prompts.quoted) == repr(text)
