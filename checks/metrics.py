@@ -429,6 +429,49 @@ def logprob_flatten(spark, d):
     return distil.flatten_logprobs(rows)
 
 
+@register(
+    "teacher_token_ids",
+    sql(
+        f"""select vec_id as sample_id, seq - 1 as place,
+              case when token % 5 <> 0 then token + 2 end as id, {r6("logprob")} as logprob
+            from (select vec_id, 0 as seq, token, logprob from teach where seq = 0
+                  union all select vec_id, seq + 1, token, logprob from teach)""",
+        "teach",
+    ),
+)
+def teacher_token_ids(spark, d):
+    """Token texts to ids; the vocabulary lacks every fifth token."""
+    from tandem.plans.distillation import with_token_ids
+
+    def named(c):
+        return [c["token"].cast("string").alias("token"), c["logprob"].alias("logprob")]
+
+    tops = F.transform("top", lambda t: F.struct(*named(t))).alias("top_logprobs")
+    rows = r.staged(r.teacher(spark, d)).select(
+        F.col("vec_id").alias("sample_id"),
+        F.array(F.struct(*named(F.col("chosen")), tops)).alias("logprobs"),
+    )
+    token = F.explode_outer(F.transform("embedding", lambda x, at: at)).alias("id")
+    vocabulary = (
+        r.table(spark, d, "embeddings")
+        .select(token)
+        .distinct()
+        .filter("id % 5 <> 0")
+        .select(F.col("id").cast("string").alias("token"), (F.col("id") + 2).alias("token_id"))
+    )
+    all_entries = F.concat(F.array("chosen"), "top")
+    return (
+        with_token_ids(rows, vocabulary)
+        .select("sample_id", F.posexplode_outer(all_entries).alias("place", "e"))
+        .select(
+            "sample_id",
+            (F.col("place") - 1).cast("int").alias("place"),
+            F.col("e.token").cast("bigint").alias("id"),
+            "e.logprob",
+        )
+    )
+
+
 T = distil.TEMPERATURE
 # The chosen token is the first entry; it is not counted again among the others.
 r.cte("entries", f"select *, exp(logprob / {T}) as p from teach", "teach")

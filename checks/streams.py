@@ -84,3 +84,20 @@ def stream_enrich(spark, d):
         source, "biased", r.answer_call, "response string", out, new_path(spark, "state")
     ).awaitTermination()
     return jobs.read_enriched(spark, out, "string", "biased", "response string")
+
+
+@register(
+    "stream_latest",
+    f"""select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type
+        from ({_REPLAYED}) group by user_id""",
+)
+def stream_latest(spark, d):
+    spark = _session(spark)
+    rows = r.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    schema = "event_id bigint, user_id bigint, event_type string"
+    source = jobs.follow(spark, _in_files(rows, "event_id", "responses"), schema, 1)
+    out = new_path(spark, "latest")
+    jobs.latest_stream(source, ["user_id"], "event_id", out, new_path(spark, "state")).awaitTermination()
+    return jobs.read_latest(spark, out, schema, ["user_id"], "event_id").select(
+        "user_id", "event_id", "event_type"
+    )

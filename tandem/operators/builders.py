@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import arrays, prompts
-from tandem.functions.text import chat_tokens
-from tandem.operators.vocabulary import PAD_ID, Vocabulary
+from tandem.functions import prompt_texts as fixed
+from tandem.functions.text import CHAT_TOKEN_PATTERN, chat_tokens
+from tandem.operators.vocabulary import (
+    PAD_ID,
+    UNKNOWN_ID,
+    Vocabulary,
+    count_tokens,
+    number_tokens,
+    weigh,
+)
 
 # Token lengths for rewriting and for classification.
 SEQUENCE_LENGTH, CLASSIFIER_LENGTH = 512, 1024
@@ -17,25 +27,46 @@ SEQUENCE_LENGTH, CLASSIFIER_LENGTH = 512, 1024
 KEY = "sample_id"
 
 
-def pair_texts(pairs: DataFrame, thinking_off: bool = False) -> DataFrame:
-    """Pairs with the whole chat and the prompt-only chat as texts."""
-    chat = prompts.sft_messages(F.col("biased"), F.col("neutral"))
-    return pairs.withColumns(
-        {
-            "full_text": prompts.render_chat(chat),
-            "prompt_text": prompts.render_chat(
-                prompts.first_turns(chat, 2), generation_prompt=True, thinking_off=thinking_off
-            ),
-        }
-    )
+def _template() -> tuple[str, str, str]:
+    """What a training chat says before the source, between the texts, and after."""
+    tags, user = prompts.CHATML, fixed.TRAINING_USER.removesuffix("{text}")
+    before = (
+        tags.turn_open + "system" + tags.role_end + fixed.SYSTEM_PROMPT + tags.turn_close
+        + tags.turn_open + "user" + tags.role_end + user
+    )
+    between = tags.turn_close + tags.turn_open + tags.answer_role + tags.role_end
+    return before, between, tags.turn_close
+
+
+# The chat as token lists. It is cut where tokens end whatever the texts are; only
+# the line end before the answer may run on, so it is read with the answer.
+_BEFORE, _BETWEEN, _AFTER = (re.findall(CHAT_TOKEN_PATTERN, part) for part in _template())
+_ROLE_END = _BETWEEN[-1]
+
+
+def _source_tokens() -> Column:
+    return chat_tokens(F.col("biased"))
+
+
+def _answer_tokens() -> Column:
+    return chat_tokens(F.concat(F.lit(_ROLE_END), F.col("neutral")))
 
 
 def pair_vocabulary(pairs: DataFrame) -> Vocabulary:
-    """A vocabulary over everything the token builders write."""
-    texts = pair_texts(pairs).select(
-        F.explode(F.array("full_text", "prompt_text", "biased")).alias("text")
+    """A vocabulary over what the builders write: chats, prompts and sources.
+
+    Only the texts are tokenised; the fixed wording is counted once and weighed
+    by the number of pairs.
+    """
+    weighted = F.concat(weigh(_source_tokens(), 3), weigh(_answer_tokens()))
+    counts = count_tokens(pairs.select(weighted.alias("weighted")), "weighted")
+    rows = pairs.count()
+    wording = Counter(_BEFORE + _BETWEEN[:-1] + _AFTER) + Counter(_BEFORE + _BETWEEN)
+    fixed_counts = pairs.sparkSession.createDataFrame(
+        [(token, n * rows) for token, n in wording.items()], "token string, n long"
     )
-    return Vocabulary.of(texts.select(chat_tokens(F.col("text")).alias("tokens")))
+    total = counts.unionByName(fixed_counts).groupBy("token").agg(F.sum("n").alias("n"))
+    return Vocabulary.numbered(number_tokens(total))
 
 
 def tokenize_pairs(
@@ -54,15 +85,22 @@ def tokenize_pairs(
     columns of ``pairs`` to carry along. ``newlines`` are the ids skipped at the
     start of an answer, by default those of one and two line ends.
     """
+    before, between, after, line_ends = vocabulary.constants(
+        _BEFORE, _BETWEEN, _AFTER, ("\n\n", "\n")
+    )
     if newlines is None:
-        newlines = vocabulary.ids_of(("\n\n", "\n"))
-    parts = {
-        "full": chat_tokens(F.col("full_text")),
-        "prompt": chat_tokens(F.col("prompt_text")),
-    }
-    if source:
-        parts["source"] = chat_tokens(F.col("biased"))
-    ids = vocabulary.encode(pair_texts(pairs), KEY, parts)
+        newlines = tuple(i for i in line_ends if i != UNKNOWN_ID)
+    ids = vocabulary.encode(
+        pairs, KEY, {"source": _source_tokens(), "answer": _answer_tokens()}
+    )
+    ids = ids.withColumns(
+        {
+            "full": F.concat(
+                F.lit(before), "source", F.lit(between[:-1]), "answer", F.lit(after)
+            ),
+            "prompt": F.concat(F.lit(before), "source", F.lit(between)),
+        }
+    )
 
     def padded(part: str) -> Column:
         return arrays.pad_truncate(F.col(part), length, PAD_ID, side)
@@ -77,7 +115,7 @@ def tokenize_pairs(
     )
     if source:
         rows = rows.withColumn("tokenized_input", padded("source"))
-    rows = rows.drop(*parts)
+    rows = rows.drop("source", "answer", "full", "prompt")
     return rows.join(pairs.select(KEY, *keep), KEY) if keep else rows
 
 

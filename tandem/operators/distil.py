@@ -127,7 +127,9 @@ def position_losses(
                 "dist",
                 lambda e: F.struct(
                     e["p"].alias("p"),
-                    F.greatest(e["p"] / F.col("_mass"), F.lit(FLOOR)).alias("q"),
+                    F.greatest(
+                        F.when(F.col("_mass") > 0, e["p"] / F.col("_mass")), F.lit(FLOOR)
+                    ).alias("q"),
                     (F.get("_x", e["token"]) - F.col("_shift")).alias("s"),
                 ),
             ),

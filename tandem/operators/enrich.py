@@ -112,22 +112,26 @@ def cached_enrich(
     result: str,
     spread_by: Sequence[str],
     max_concurrent: int = MAX_CONCURRENT,
+    commits: int = 1,
 ) -> DataFrame:
     """``source`` with result fields, calling only for keys the log lacks.
 
     Each missing key is called once and appended to the Parquet log at
-    ``log_path``; failed keys are not logged and come back as nulls.
+    ``log_path``; failed keys are not logged and come back as nulls. The missing
+    keys are cut by hash into ``commits`` parts, each appended when done.
     """
     spark = source.sparkSession
     key_type = source.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, {result}, revision bigint"
-    logged = scan_table(spark, log_path, schema)
-    missing = source.select(key).distinct().join(logged.select(key).distinct(), key, "left_anti")
-    answered = call_rows(missing, call, result, [key], max_concurrent)
     revision = F.unix_micros(F.current_timestamp()).alias("revision")
-    answered.filter("ok").drop("ok", "error").select("*", revision).write.mode("append").parquet(
-        log_path
-    )
+    for at in range(commits):
+        wanted = source.select(key).filter(F.pmod(F.xxhash64(key), F.lit(commits)) == at)
+        logged = scan_table(spark, log_path, schema).select(key).distinct()
+        missing = wanted.distinct().join(logged, key, "left_anti")
+        answered = call_rows(missing, call, result, [key], max_concurrent)
+        answered.filter("ok").drop("ok", "error").select("*", revision).write.mode(
+            "append"
+        ).parquet(log_path)
     cache = latest_by_key(scan_table(spark, log_path, schema), [key], "revision").drop("revision")
     return salted_join(source, cache, [key], "left", spread_by=spread_by)
 

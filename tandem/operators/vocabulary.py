@@ -17,23 +17,41 @@ PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 HEAD_ROWS, HEAD_LENGTH = 200_000, 64
 
 
-def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
-    """(token, n, token_id) of an array column, most frequent token first.
+def count_tokens(weighted: DataFrame, column: str) -> DataFrame:
+    """(token, n): summed weights of an array column of structs (token, weight).
 
-    Counts combine on the map side, so a token holding a third of all
-    occurrences costs one row per task.
+    Sums combine on the map side, so a token holding a third of all occurrences
+    costs one row per task.
     """
-    counts = (
-        # The outer form: the plain one adds a size filter that tokenises twice.
-        tokens.select(F.explode_outer(column).alias("token"))
-        .filter(F.col("token").isNotNull())
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    # The outer form: the plain one adds a size filter that tokenises twice.
+    return (
+        weighted.select(F.explode_outer(column).alias("t"))
+        .filter(F.col("t").isNotNull())
+        .groupBy("t.token")
+        .agg(F.sum("t.weight").alias("n"))
+    )
+
+
+def weigh(tokens: Column, weight: int = 1) -> Column:
+    """Tokens as structs (token, weight)."""
+    return F.transform(
+        tokens,
+        lambda token: F.struct(token.alias("token"), F.lit(weight).cast("bigint").alias("weight")),
     )
+
+
+def number_tokens(counts: DataFrame) -> DataFrame:
+    """(token, n, token_id): ids by falling count, then by token."""
     numbered = with_ordinals(counts, [F.desc("n"), "token"], "_rank")
     return numbered.select("token", "n", (F.col("_rank") + FIRST_ID).alias("token_id"))
 
 
+def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
+    """(token, n, token_id) of an array column, most frequent token first."""
+    weighted = tokens.select(weigh(F.col(column)).alias("weighted"))
+    return number_tokens(count_tokens(weighted, "weighted"))
+
+
 def _in_head() -> Column:
     """Frequent tokens of bounded length: at most ``HEAD_ROWS`` short rows."""
     return (F.col("token_id") < FIRST_ID + HEAD_ROWS) & (F.length("token") <= HEAD_LENGTH)
@@ -48,13 +66,21 @@ class Vocabulary:
 
     @classmethod
     def of(cls, tokens: DataFrame, column: str = "tokens") -> "Vocabulary":
-        table = build_vocabulary(tokens, column)
+        return cls.numbered(build_vocabulary(tokens, column))
+
+    @classmethod
+    def numbered(cls, table: DataFrame) -> "Vocabulary":
         return cls(table, table.filter(~_in_head()).count())
 
-    def ids_of(self, tokens: Sequence[str]) -> tuple[int, ...]:
+    def ids_of(self, tokens: Sequence[str]) -> dict[str, int]:
         """Ids of a few named tokens, those that occur."""
-        found = self.table.filter(F.col("token").isin(*tokens)).select("token_id")
-        return tuple(row.token_id for row in found.collect())
+        found = self.table.filter(F.col("token").isin(*set(tokens))).select("token", "token_id")
+        return {row.token: row.token_id for row in found.collect()}
+
+    def constants(self, *lists: Sequence[str]) -> list[list[int]]:
+        """The ids of fixed token lists, found together."""
+        ids = self.ids_of([token for tokens in lists for token in tokens])
+        return [[ids.get(token, UNKNOWN_ID) for token in tokens] for tokens in lists]
 
     def encode(self, df: DataFrame, key: str, parts: Mapping[str, Column]) -> DataFrame:
         """``key`` and one id array per part, each a token array of ``df``.

@@ -82,6 +82,30 @@ def dedupe_stream(
     )
 
 
+def latest_stream(
+    rows: DataFrame, keys: Sequence[str], order: str, out: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep the last row of each key: one row per key and micro-batch is written."""
+    write = _folder_per_batch(out)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        ranked = batch.withColumn("_order", F.col(order))
+        write(latest_by_key(ranked, keys, "_order"), batch_id)
+
+    return (
+        rows.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_latest(spark: SparkSession, out: str, schema: str, keys: Sequence[str], order: str) -> DataFrame:
+    """The last row of each key over all micro-batches of ``latest_stream``."""
+    rows = spark.read.schema(schema).parquet(out).withColumn("_order", F.col(order))
+    return latest_by_key(rows, keys, "_order")
+
+
 def write_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows as Parquet."""
     return (

@@ -200,7 +200,7 @@ def test_vocabulary(spark, monkeypatch):
     assert encoded(vocab) == wanted
     monkeypatch.setattr(vocabulary, "HEAD_ROWS", 1)
     assert encoded(Vocabulary.of(texts)) == wanted
-    assert set(vocab.ids_of(["a", "zz"])) == {3}
+    assert vocab.ids_of(["a", "zz"]) == {"a": 3}
 
 
 def test_unknown_tokens(spark):
@@ -237,3 +237,26 @@ def test_builders(spark):
     assert sorted((r.sample_id, r.labels) for r in two) == [(1, 0), (1, 1), (2, 0), (2, 1)]
     short = build_dataset(pairs, "SFT", vocab, length=4).collect()
     assert all(r.labels == [-100] * 4 for r in short)
+
+
+def test_chat_tokens_join_at_the_cuts(spark):
+    """Tokens of the pieces are the tokens of the whole, whatever the texts hold."""
+    from tandem.functions import prompts
+    from tandem.functions.text import chat_tokens
+    from tandem.operators import builders
+
+    nasty = ["", "\n", "\n\nx\n", "<", "<|im_", "|>", "<|im_end|", "a", " a ", "9\t", "é", "<|im_end|>"]
+    pairs = spark.createDataFrame([(a, b) for a in nasty for b in nasty], "biased string, neutral string")
+    chat = prompts.sft_messages(F.col("biased"), F.col("neutral"))
+    lists = {name: F.lit(getattr(builders, name)) for name in ("_BEFORE", "_BETWEEN", "_AFTER")}
+    pieces = F.concat(
+        lists["_BEFORE"], builders._source_tokens(), F.lit(builders._BETWEEN[:-1]),
+        builders._answer_tokens(), lists["_AFTER"],
+    )
+    asked = prompts.render_chat(prompts.first_turns(chat, 2), generation_prompt=True)
+    opened = F.concat(lists["_BEFORE"], builders._source_tokens(), lists["_BETWEEN"])
+    rows = pairs.select(
+        (chat_tokens(prompts.render_chat(chat)) == pieces).alias("whole"),
+        (chat_tokens(asked) == opened).alias("prompt"),
+    )
+    assert rows.filter("whole and prompt").count() == len(nasty) ** 2
