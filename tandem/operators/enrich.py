@@ -113,12 +113,14 @@ def cached_enrich(
     spread_by: Sequence[str],
     max_concurrent: int = MAX_CONCURRENT,
     commits: int = 1,
+    asked_with: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``source`` with result fields, calling only for keys the log lacks.
 
     Each missing key is called once and appended to the Parquet log at
     ``log_path``; failed keys are not logged and come back as nulls. The missing
-    keys are cut by hash into ``commits`` parts, each appended when done.
+    keys are cut by hash into ``commits`` parts, each appended when done. The call
+    sees the key and the columns of ``asked_with``, which are made from it.
     """
     spark = source.sparkSession
     key_type = source.schema[key].dataType.simpleString()
@@ -128,10 +130,10 @@ def cached_enrich(
         wanted = source.select(key).filter(F.pmod(F.xxhash64(key), F.lit(commits)) == at)
         logged = scan_table(spark, log_path, schema).select(key).distinct()
         missing = wanted.distinct().join(logged, key, "left_anti")
-        answered = call_rows(missing, call, result, [key], max_concurrent)
-        answered.filter("ok").drop("ok", "error").select("*", revision).write.mode(
-            "append"
-        ).parquet(log_path)
+        asked = missing.withColumns(asked_with or {})
+        answered = call_rows(asked, call, result, [key], max_concurrent)
+        fields = T.StructType.fromDDL(result).names
+        answered.filter("ok").select(key, *fields, revision).write.mode("append").parquet(log_path)
     cache = latest_by_key(scan_table(spark, log_path, schema), [key], "revision").drop("revision")
     return salted_join(source, cache, [key], "left", spread_by=spread_by)
 

@@ -9,13 +9,13 @@ from tandem.functions.prompts import teacher_messages
 from tandem.operators.distil import (
     ALPHA,
     TEMPERATURE,
+    flatten_logprobs,
     mixed_loss,
     position_losses,
     sample_losses,
 )
 from tandem.operators.enrich import MAX_CONCURRENT, Call, cached_enrich
 from tandem.operators.skew import lookup_join
-from tandem.operators.distil import flatten_logprobs
 from tandem.sources.logs import LOGPROBS_TYPE
 
 TEACHER_RESULT = f"neutralized_text string, logprobs {LOGPROBS_TYPE}, model string"
@@ -26,22 +26,21 @@ def teacher_answers(
 ) -> DataFrame:
     """Pairs with teacher logprobs, asking only for texts the log lacks.
 
-    A failed text has an empty list and is asked again next time.
+    The call sees the text and its chat ``messages``. A failed text has an empty
+    list and is asked again next time.
     """
-
-    def ask(row: dict) -> dict | None:
-        return call(row)
-
     answered = cached_enrich(
-        pairs, "biased", log_path, ask, TEACHER_RESULT, ["sample_id"], max_concurrent
+        pairs,
+        "biased",
+        log_path,
+        call,
+        TEACHER_RESULT,
+        ["sample_id"],
+        max_concurrent,
+        asked_with={"messages": teacher_messages(F.col("biased"))},
     )
     empty = F.expr(f"cast(array() as {LOGPROBS_TYPE})")
-    return answered.withColumns(
-        {
-            "messages": teacher_messages(F.col("biased")),
-            "logprobs": F.coalesce("logprobs", empty),
-        }
-    )
+    return answered.withColumn("logprobs", F.coalesce("logprobs", empty))
 
 
 def with_token_ids(responses: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -299,6 +299,7 @@ def test_judge_and_rewards(spark, folder):
 
 def test_teacher_cache(spark, folder):
     def call(row):
+        assert row["messages"][1]["content"] == "Debias this sentence: " + row["biased"]
         if row["biased"] == "bad":
             return None
         return {"neutralized_text": "n", "model": "t", "logprobs": [
