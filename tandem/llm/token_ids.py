@@ -3,7 +3,9 @@
 The word-level vocabulary drops white space and never joins signs across it, so
 the ids of a text are the ids of its words, one after the other. Words met
 before come from a bounded table; new ones are encoded together, with a control
-sign of one known id between them.
+sign of one known id between them. The vocabulary lowers case and takes a sign
+after a letter for itself, so an ASCII word is looked up in small letters, and a
+closing mark after an ASCII letter apart.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 from tandem.llm import words
 
 _MARK = "\x01"
+_CLOSING = (b".", b",", b"!", b"?", b";", b":")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -27,39 +30,57 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._ids(_MARK)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > words.CACHE_WORDS:
-            self.known.clear()
+    def _encode_new(self, new: list[bytes]) -> None:
         plain = [w for w in new if b"\x01" not in w]
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            joined = f" {_MARK} ".join(w.decode() for w in group)
-            ids = np.array(self._ids(joined), dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            start = 0
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        joined = [f" {_MARK} ".join(w.decode() for w in group) for group in groups]
+        for group, found in zip(
+            groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True
+        ):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, start = ids.tobytes(), 0
             for word, end in zip(group, ends, strict=True):
-                self.known[word] = ids[start:end].tobytes()
+                self.known[word] = data[4 * start : 4 * end]
                 start = end + 1
         for word in new:
             if b"\x01" in word:
                 self.known[word] = np.array(self._ids(word.decode()), dtype="<u4").tobytes()
 
+    def _learn(self, missing: list[bytes]) -> None:
+        """Put words into the table, from the older one where they are there."""
+        parts = {w: parts_of(w) for w in missing if w not in self.older}
+        new = {p for own in parts.values() for p in own if p not in self.known and p not in self.older}
+        self._encode_new(list(new))
+        for word in missing:
+            if word not in self.known:
+                found = self.older.get(word)
+                if found is None:
+                    found = b"".join([self.known[p] if p in self.known else self.older[p] for p in parts[word]])
+                self.known[word] = found
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
+        if len(self.known) > words.CACHE_WORDS:
+            self.older, self.known = self.known, {}
         split = [t.split() for t in texts]
-        out = []
-        for own in split:
-            new = set(own).difference(self.known)
-            if new:
-                self._learn(list(new))
-                if not self.known.keys() >= set(own):  # the table was started afresh
-                    self._learn([w for w in set(own) if w not in self.known])
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4"))
-        return out
+        self._learn([w for w in set().union(*split) if w not in self.known])
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4") for own in split]
+
+
+def parts_of(word: bytes) -> tuple[bytes, ...]:
+    """What a word's ids are joined from: itself, or without case and closing mark."""
+    if not word.isascii():
+        return (word,)
+    word = word.lower()
+    if len(word) > 1 and word[-1:] in _CLOSING and word[-2:-1].isalpha():
+        return (word[:-1], word[-1:])
+    return (word,)
 
 
 def word_encoder(path: str) -> WordEncoder:

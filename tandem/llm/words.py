@@ -13,7 +13,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Entries a worker's table of word hashes or word ids may hold before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def text_or_empty(text: Column | str) -> Column:
