@@ -11,6 +11,7 @@ closing mark after an ASCII letter apart.
 from __future__ import annotations
 
 import os
+from unicodedata import normalize
 
 import numpy as np
 
@@ -29,6 +30,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._ids(_MARK)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -36,19 +39,25 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode_new(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"\x01" not in w]
-        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
-        joined = [f" {_MARK} ".join(w.decode() for w in group) for group in groups]
-        for group, found in zip(
-            groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True
-        ):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, start = ids.tobytes(), 0
-            for word, end in zip(group, ends, strict=True):
-                self.known[word] = data[4 * start : 4 * end]
-                start = end + 1
+        # a word of letters alone ends with the first id that ends a word, others with the mark
+        letters, others = [], []
         for word in new:
+            (letters if normalize("NFC", word.decode()).lower().isalpha() else others).append(word)
+        marked = [w for w in others if b"\x01" not in w]
+        for some, between in ((letters, " "), (marked, f" {_MARK} ")):
+            groups = [some[at : at + 256] for at in range(0, len(some), 256)]
+            joined = [between.join(w.decode() for w in group) for group in groups]
+            for group, found in zip(
+                groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True
+            ):
+                ids = np.array(found.ids, dtype="<u4")
+                skip = int(some is marked)
+                last = np.flatnonzero(ids == self.mark) if skip else np.flatnonzero(self.ends[ids]) + 1
+                data, start = ids.tobytes(), 0
+                for word, end in zip(group, np.append(last, len(ids))[: len(group)].tolist(), strict=True):
+                    self.known[word] = data[4 * start : 4 * end]
+                    start = end + skip
+        for word in others:
             if b"\x01" in word:
                 self.known[word] = np.array(self._ids(word.decode()), dtype="<u4").tobytes()
 
