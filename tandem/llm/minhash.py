@@ -34,6 +34,8 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 6
 HASHES = BANDS * ROWS
 BATCH = 24
+#: Bands whose stars are compared first, and settle most of a large group.
+FIRST_BANDS = 3
 #: Chosen chance that a pair at the bound is dropped by its signatures at one batch.
 MISS = 1e-5
 #: Members up to which an unsettled bucket is listed as pairs, and of a block beyond that.
@@ -236,7 +238,7 @@ def _blocks(bound: float):
 
 def _rest(buckets: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Likely pairs between members of a bucket that its least member did not bring together."""
-    members = buckets.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    members = buckets.select("doc_id", "band", "hub").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     # a bucket is settled if all but its least member, already compared with each, are in one component
     others = members.where("doc_id <> hub")
     open_ = (
@@ -305,15 +307,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = [
         F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)
     ]
-    banded = signed.select("doc_id", F.explode(F.array(*band)).alias("band"))
+    banded = signed.select("doc_id", F.posexplode(F.array(*band)).alias("_band", "band"))
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last"))
     buckets = stage(
         banded.join(shared.where("hub < _last").select("band", "hub"), "band"), "minhash-buckets"
     )
-    first = buckets.where("doc_id <> hub").selectExpr("hub AS a", "doc_id AS b").distinct()
-    likely = stage(likely_pairs(first, signed, percent), "likely")
+    stars = buckets.where("doc_id <> hub").selectExpr("_band", "hub AS a", "doc_id AS b")
+    # a few bands first: what they join need not be compared again in the others
+    likely = stage(likely_pairs(stars.where(F.col("_band") < FIRST_BANDS).select("a", "b").distinct(), signed, percent), "likely")
     links = stage(exact_links(docs, likely, percent), "exact-links")
     labels = components(links)
+    of_a, of_b = (labels.toDF(x, f"_label_{x}") for x in "ab")
+    apart = (
+        stars.where(F.col("_band") >= FIRST_BANDS)
+        .join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .where("coalesce(_label_a, a) <> coalesce(_label_b, b)")
+        .select("a", "b")
+        .distinct()
+    )
+    likely = stage(likely_pairs(apart, signed, percent), "likely")
+    links = stage(links.unionByName(exact_links(docs, likely, percent)), "exact-links")
+    labels = components(links)
     rest = stage(
         _rest(buckets, labels.selectExpr("node AS doc_id", "component AS label"), signed, percent), "likely"
     )
