@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.tables import bounded_join
 from tandem.llm.words import text_or_empty, word_array
 from tandem.operators.ordinals import with_ordinals
 from tandem.session import stage
@@ -106,7 +107,8 @@ def fingerprints(docs: DataFrame, below: str = BELOW) -> DataFrame:
     of the text); after the last comes the first. Returns per row doc_id, n_chars, edited (text),
     fingerprint, edited_fingerprint, next_fingerprint (arrays). Rows equal in id
     and text count as one document and keep their number. An empty table gives
-    an empty result. A text moves once, its successor's share and fingerprint too.
+    an empty result. A text moves once, its successor's share and fingerprint
+    too; where the ordered ids are too many to broadcast, it moves twice.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
     follows = with_next(texts)
@@ -118,7 +120,9 @@ def fingerprints(docs: DataFrame, below: str = BELOW) -> DataFrame:
         )
     )
     shares = (
-        keyed.join(ahead, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")))
+        bounded_join(
+            keyed, ahead, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "inner"
+        )
         .select(
             "_of",
             "_of_hash",
