@@ -71,15 +71,21 @@ def _cut(path: str, length: int, end_id: int):
             full = np.concatenate((ids, np.full(length - len(ids), end_id, "<u2"))).tobytes()
             return (worker, at, first, len(ids), zlib.crc32(full), squeeze.compress(full))
 
+        end = np.array([end_id], "<u4")
         for batch in slices(batches):
+            ids = encoder.encode(text_bytes(batch))
+            docs = [first, *batch.column(0).to_pylist()]
+            sizes = np.array([len(held), *(len(own) + 1 for own in ids)])
+            stops = np.cumsum(sizes)
+            joined = np.concatenate([held, *(part for own in ids for part in (own, end))]).astype("<u2")
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(text_bytes(batch)), strict=True):
-                if not len(held):
-                    first = doc_id
-                held = np.concatenate((held, ids.astype("<u2"), np.array([end_id], "<u2")))
-                while len(held) >= length:
-                    rows.append(row(held[:length]))
-                    held, first, at = held[length:], doc_id, at + 1
+            for k in range(len(joined) // length):
+                first = docs[int(np.searchsorted(stops, k * length, "right"))]
+                rows.append(row(joined[k * length : (k + 1) * length]))
+                at += 1
+            held = joined[len(rows) * length :]
+            if len(held):
+                first = docs[int(np.searchsorted(stops, len(rows) * length, "right"))]
             if rows:
                 yield table(rows)
         if len(held):
