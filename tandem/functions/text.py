@@ -93,7 +93,7 @@ def tokens_13a(text: Column) -> Column:
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, template in SPLIT_13A:
         text = F.regexp_replace(text, pattern, template.format("", "$1", "$2"))
-    return F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"{SPACE_CLASS}+"), lambda w: w != "")
 
 
 def chat_tokens(text: Column) -> Column:

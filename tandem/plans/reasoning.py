@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tandem.functions.prompt_texts import COT_STYLE
 from tandem.functions.prompts import cot_prompt
 from tandem.operators.enrich import MAX_CONCURRENT, Call, resume
+from tandem.session import stage
 from tandem.sources.logs import append_cot, iso_now, scan_cot
 
 RECORD = ("timestamp", "input", "style", "prompt", "response", "model")
@@ -41,18 +42,21 @@ def generate(
     call: Call,
     model: str,
     max_concurrent: int = MAX_CONCURRENT,
-    commits: int = 1,
+    commits: int = 4,
 ) -> DataFrame:
     """Extend the log at ``log_path`` and return all of it.
 
-    The work is cut by a hash of the key into ``commits`` parts, each appended
-    when done; a run that stops is taken up again from the last append.
+    The log is read once, before the first call. The work is cut by a hash of
+    the text into ``commits`` parts, each appended when done, so rows that repeat
+    a text are asked and appended together; a run that stops is taken up again
+    from the last append.
     """
     spark = pairs.sparkSession
-    part = F.pmod(F.xxhash64("sample_id"), F.lit(commits))
+    log = stage(scan_cot(spark, log_path), "cot-log")
+    part = F.pmod(F.xxhash64("biased"), F.lit(commits))
     for at in range(commits):
         rows = pairs if commits == 1 else pairs.filter(part == at)
-        append_cot(increment(rows, scan_cot(spark, log_path), call, model, max_concurrent), log_path)
+        append_cot(increment(rows, log, call, model, max_concurrent), log_path)
     return scan_cot(spark, log_path)
 
 

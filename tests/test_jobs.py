@@ -375,3 +375,15 @@ def test_stream_enrich_calls_new_keys_only(spark, folder):
     spark.createDataFrame([("a",), ("c",), ("bad",)], "biased string").coalesce(1).write.mode("append").parquet(path)
     assert run() == ["A", "C"]
     assert sorted(n.split("-")[0] for n in os.listdir(calls)) == ["a", "bad", "bad", "c"]
+
+
+def test_commits_keep_repeated_texts(spark, folder):
+    from tandem.plans.reasoning import generate
+
+    rows = [(i, f"text {i % 3}", "n") for i in range(30)]
+    pairs = spark.createDataFrame(rows, "sample_id long, biased string, neutral string")
+    sizes = {
+        n: generate(pairs, f"{folder}/log-{n}", lambda row: {"response": "r"}, "m", commits=n).count()
+        for n in (1, 4)
+    }
+    assert sizes == {1: 30, 4: 30}
