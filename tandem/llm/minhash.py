@@ -338,7 +338,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # rows of one id but different texts tie their classes together
     ids = described.select("doc_id", "n_shingles", "set_name")
-    tied = ids.join(classes.select("set_name", F.col("doc_id").alias("_class")), "set_name", "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.col("set_name"))
+    tied = ids.withColumn("set_name", named).join(
+        classes.select("set_name", F.col("doc_id").alias("_class")), "set_name", "left"
+    )
     labels = labels.selectExpr("node AS _class", "component")
     return tied.join(labels, "_class", "left").select(
         "doc_id",
