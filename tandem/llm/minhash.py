@@ -8,8 +8,8 @@ bound is below ``MISS``; survivors are compared on their full shingle sets.
 
 Pairs of a bucket are not all listed. Each member is first compared with the
 bucket's least; what the links join is settled. Members still apart are then
-compared with every member of another component: in small buckets as pairs, in
-large ones block against block, where only survivors of the signatures leave.
+compared with every member of another component, block against block: signatures
+prune and full sets verify within a block, and only links that join leave it.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ BATCH = 24
 FIRST_BANDS = 3
 #: Chosen chance that a pair at the bound is dropped by its signatures at one batch.
 MISS = 1e-5
-#: Members up to which an unsettled bucket is listed as pairs, and of a block beyond that.
-_PAIRS_UP_TO, _BLOCK = 48, 256
+#: Members and shingles of one side of a block of an unsettled bucket, and shingles counted at once.
+_BLOCK, _BLOCK_SHINGLES, _COLUMNS = 256, 1 << 20, 1 << 12
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _HASHES = WordHashes()
@@ -197,16 +197,18 @@ def _linked(percent: int):
     return run
 
 
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the full sets of the documents with the staged ``ids``."""
+    wanted = bounded_join(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id", "left_semi"
+    )
+    return wanted.mapInArrow(_sets, "doc_id long, shingles binary")
+
+
 def exact_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The staged ``pairs`` whose full shingle sets reach the bound."""
     ids = stage(pairs.selectExpr("explode(array(a, b)) AS doc_id").distinct(), "likely-ids")
-    sets = (
-        bounded_join(
-            docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id", "left_semi"
-        )
-        .mapInArrow(_sets, "doc_id long, shingles binary")
-    )
-    sets = stage(sets, "likely-sets")
+    sets = stage(shingle_sets(docs, ids), "likely-sets")
     return (
         pairs.join(sets.toDF("a", "set_a"), "a")
         .join(sets.toDF("b", "set_b"), "b")
@@ -215,72 +217,117 @@ def exact_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _blocks(bound: float):
+def overlaps(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``p`` shares with each of ``q``."""
+    sets = p + q
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, code = owner[shared[code]], place[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(p), len(q)), np.float64)
+    for low in range(0, int(shared.sum()), _COLUMNS):
+        part = slice(*np.searchsorted(code, (low, low + _COLUMNS)))
+        held = np.zeros((len(sets), min(_COLUMNS, int(shared.sum()) - low)), np.float32)
+        held[owner[part], code[part] - low] = 1
+        out += held[: len(p)] @ held[len(p) :].T
+    return out.astype(np.int64)
+
+
+def _blocks(percent: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        apart = group[group.side == 0]
-        every = group[group.side == 1]
-        out_a, out_b = [], []
+        apart, every = group[group.side == 0], group[group.side == 1]
+        out: list[tuple[int, int]] = []
         if len(apart) and len(every):
-            sig, ids, labels = _matrix(every.signature), every.doc_id.to_numpy(), every.label.to_numpy()
-            sizes = every.n_shingles.to_numpy()
-            for row in apart.itertuples():
-                other = np.flatnonzero(labels != row.label)
-                other = other[np.minimum(sizes[other], row.n_shingles) >= bound * np.maximum(sizes[other], row.n_shingles) - 1e-9]
-                if len(other):
-                    own = np.broadcast_to(np.frombuffer(row.signature, np.uint32), (len(other), HASHES))
-                    found = ids[other[survives(own, sig[other], bound)]]
-                    out_a += [row.doc_id] * len(found)
-                    out_b += found.tolist()
-        return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
+            n_p, n_q = apart.n_shingles.to_numpy()[:, None], every.n_shingles.to_numpy()
+            label_p, label_q = apart.label.to_numpy(), every.label.to_numpy()
+            open_ = (label_p[:, None] != label_q) & (
+                100 * np.minimum(n_p, n_q) >= percent * np.maximum(n_p, n_q)
+            )
+            sig_p, sig_q = _matrix(apart.signature), _matrix(every.signature)
+            for row, mask in enumerate(open_):
+                other = np.flatnonzero(mask)
+                own = np.broadcast_to(sig_p[row], (len(other), HASHES))
+                mask[other] = survives(own, sig_q[other], percent / 100)
+            if open_.any():
+                both = overlaps(
+                    *([np.frombuffer(s, np.uint64) for s in side.shingles] for side in (apart, every))
+                )
+                open_ &= 100 * both >= percent * (n_p + n_q - both)
+            out = _joining(open_, apart.doc_id.to_numpy(), label_p, every.doc_id.to_numpy(), label_q)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between members of a bucket that its least member did not bring together."""
+def _joining(linked: np.ndarray, ids_p, label_p, ids_q, label_q) -> list[tuple[int, int]]:
+    """Of the links of a block, those that join labels not joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for row in np.flatnonzero(linked.any(1)):
+        other = np.flatnonzero(linked[row])
+        labels, first = np.unique(label_q[other], return_index=True)
+        for label, at in zip(labels.tolist(), other[first].tolist(), strict=True):
+            a, b = root(int(label_p[row])), root(label)
+            if a != b:
+                parent[a] = b
+                out.append((int(ids_p[row]), int(ids_q[at])))
+    return out
+
+
+def _rest(docs: DataFrame, buckets: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Exact links between members of a bucket that its least member did not bring together.
+
+    Every member outside a bucket's largest component meets every other member in one
+    block, which keeps signatures and full sets side by side: pairs that survive the
+    signatures are verified there, and only links that join components leave it.
+    """
     members = buckets.select("doc_id", "band", "hub").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     # a bucket is settled if all but its least member, already compared with each, are in one component
-    others = members.where("doc_id <> hub")
-    open_ = (
-        others.groupBy("band")
-        .agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("others"))
-        .where("_low <> _high")
-        .select("band", "others")
-    )
-    members = stage(others.join(open_, "band"), "open-buckets")
-    small = members.where(F.col("others") <= _PAIRS_UP_TO).select("band", "doc_id", "label")
-    listed = (
-        small.toDF("band", "a", "_la")
-        .join(small.toDF("band", "b", "_lb"), "band")
-        .where("a < b AND _la <> _lb")
-        .select("a", "b")
-        .distinct()
+    others = members.where("doc_id <> hub").join(signed, "doc_id")
+    by_label = others.groupBy("band", "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_w")
     )
-    found = likely_pairs(listed, signed, percent)
-    large = members.where(F.col("others") > _PAIRS_UP_TO)
-    most = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("band").agg(
-        F.max_by("label", F.struct("_n", "label")).alias("_main"), F.max("_n").alias("_in_main")
-    )
-    large = large.join(most, "band").withColumns(
-        {
-            "_every": F.ceil(F.col("others") / _BLOCK).cast("int"),
-            "_apart": F.ceil((F.col("others") - F.col("_in_main")) / _BLOCK).cast("int"),
-        }
+    largest = F.max(F.struct("_n", "label", "_w"))
+    open_ = (
+        by_label.groupBy("band")
+        .agg(F.count(F.lit(1)).alias("_labels"), F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), largest.alias("_top"))
+        .where("_labels > 1")
+        .select(
+            "band",
+            F.col("_top.label").alias("_main"),
+            *(
+                F.ceil(F.greatest(n / _BLOCK, w / _BLOCK_SHINGLES)).cast("bigint").alias(name)
+                for name, n, w in (
+                    ("_every", F.col("_n"), F.col("_w")),
+                    ("_apart", F.col("_n") - F.col("_top._n"), F.col("_w") - F.col("_top._w")),
+                )
+            ),
+        )
     )
-    large = large.join(signed.select("doc_id", "signature", "n_shingles"), "doc_id")
-    row = ["band", "doc_id", "label", "signature", "n_shingles"]
+    members = stage(others.join(open_, "band").drop("hub"), "open-buckets")
+    ids = stage(members.select("doc_id").distinct(), "open-ids")
+    sets = stage(shingle_sets(docs, ids), "open-sets")
+    members = members.join(sets, "doc_id")
+    row = ["band", "doc_id", "label", "signature", "n_shingles", "shingles"]
     own = F.xxhash64("doc_id", "band")
-    apart = large.where("label <> _main").select(
-        *row, F.lit(0).alias("side"), F.pmod(own, "_apart").alias("i"), F.expr("explode(sequence(0, _every - 1))").alias("j")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    apart = members.where("label <> _main").select(
+        *row, F.lit(0).alias("side"), F.pmod(own, "_apart").alias("i"), F.explode(F.sequence(zero, F.col("_every") - one)).alias("j")
     )
-    every = large.select(
-        *row, F.lit(1).alias("side"), F.expr("explode(sequence(0, _apart - 1))").alias("i"), F.pmod(own, "_every").alias("j")
+    every = members.select(
+        *row, F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("_apart") - one)).alias("i"), F.pmod(own, "_every").alias("j")
     )
-    cast = lambda df: df.withColumns({"i": F.col("i").cast("bigint"), "j": F.col("j").cast("bigint")})
-    blocks = (
-        cast(apart).unionByName(cast(every)).groupBy("band", "i", "j").applyInPandas(_blocks(percent / 100), "a long, b long")
-    )
-    return found.unionByName(blocks).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    return apart.unionByName(every).groupBy("band", "i", "j").applyInPandas(_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -329,12 +376,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     likely = stage(likely_pairs(apart, signed, percent), "likely")
     links = stage(links.unionByName(exact_links(docs, likely, percent)), "exact-links")
     labels = components(links)
-    rest = stage(
-        _rest(buckets, labels.selectExpr("node AS doc_id", "component AS label"), signed, percent), "likely"
-    )
+    settled = labels.selectExpr("node AS doc_id", "component AS label")
+    rest = stage(_rest(docs, buckets, settled, signed, percent), "rest-links")
     if not rest.isEmpty():
-        more = exact_links(docs, rest, percent)
-        labels = components(links.unionByName(more))
+        labels = components(links.unionByName(rest))
 
     # rows of one id but different texts tie their classes together
     ids = described.select("doc_id", "n_shingles", "set_name")
