@@ -440,11 +440,12 @@ def logprob_flatten(spark, d):
     ),
 )
 def teacher_token_ids(spark, d):
-    """Token texts to ids; the vocabulary lacks every fifth token."""
+    """Token texts, after a space and with further pieces, to ids; every fifth is not in the vocabulary."""
     from tandem.plans.distillation import with_token_ids
 
     def named(c):
-        return [c["token"].cast("string").alias("token"), c["logprob"].alias("logprob")]
+        rest = F.when(c["token"] % 2 == 0, "-more").otherwise(" ")
+        return [F.concat(F.lit(" "), c["token"].cast("string"), rest).alias("token"), c["logprob"].alias("logprob")]
 
     tops = F.transform("top", lambda t: F.struct(*named(t))).alias("top_logprobs")
     rows = r.staged(r.teacher(spark, d)).select(
@@ -646,3 +647,21 @@ def loss_mix(spark, d):
 
     hard = r.labels(spark, d).select("sample_id", ((F.col("sample_id") % 10) / 4.0).alias("hard"))
     return distillation_losses(_teacher(spark, d), r.student(spark, d), r.labels(spark, d), hard)
+
+
+_BATCH = "case when sample_id % 2 = 0 then sample_id % 7 else 7 + sample_id % 3 end"
+
+
+@register(
+    "batch_loss",
+    sql(
+        f"""WITH b as (select {_BATCH} as batch, avg(k) as kl, avg((sample_id % 10) / 4.0) as hard
+              from kl group by batch)
+            select batch, {r6("kl")} as kl, {r6("hard")} as hard,
+              {r6("case when kl is null then hard else 0.5 * kl + 0.5 * hard end")} as loss from b""",
+        "kl",
+    ),
+)
+def batch_loss(spark, d):
+    """Batches with some, all and no divergences, and hard losses of 0."""
+    return distil.batch_loss(loss_mix(spark, d), F.expr(_BATCH))

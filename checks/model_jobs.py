@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import recipes as r
 from checks.recipes import sql
-from checks.registry import h_sql, r6, register
+from checks.registry import fill_sql, h_sql, r6, register, text_sql
+from tandem.functions import prompt_texts as fixed
 from tandem.functions.judging import SCORES
 from tandem.functions.text import strip_think
 from tandem.operators import enrich
@@ -26,11 +27,18 @@ def _judge_rows(spark, d):
 
 @register(
     "judge_enrich",
-    sql(f"select sample_id, {_SHOWN}, ok, {r6("score")} as score from judged_rows", "judged_rows"),
+    sql(
+        f"""select sample_id, {_SHOWN}, ok, {r6("score")} as score,
+              case when sample_id % 3 <> 0 then 9007199254740993 + sample_id end as tag
+            from judged_rows""",
+        "judged_rows",
+    ),
 )
 def judge_enrich(spark, d):
-    scored = judging.judge(_judge_rows(spark, d), r.judge_call, "judge-1")
-    return scored.select("sample_id", *SCORES, "ok", "score")
+    """A nullable integer beyond what a double holds passes through the call."""
+    tag = F.when(F.col("sample_id") % 3 != 0, F.col("sample_id") + F.lit(9007199254740993))
+    scored = judging.judge(_judge_rows(spark, d).withColumn("tag", tag), r.judge_call, "judge-1")
+    return scored.select("sample_id", *SCORES, "ok", "score", "tag")
 
 
 @register(
@@ -92,14 +100,17 @@ _ANSWERED = f"{h_sql("biased")} % 10 <> 0"
 @register(
     "cot_increment",
     sql(
-        f"""select biased as input, {r.ANSWER_SQL.format("biased")} as response
+        f"""select true as stamped, biased as input, {text_sql(fixed.COT_STYLE)} as style,
+              {fill_sql(fixed.COT_USER, text="biased", style=text_sql(fixed.COT_STYLE))} as prompt,
+              {r.ANSWER_SQL.format("biased")} as response, 'm' as model
             from pending where {_ANSWERED}""",
         "pending",
     ),
 )
 def cot_increment(spark, d):
     records = reasoning.increment(r.pairs(spark, d), r.log_rows(spark, d), r.answer_call, "m")
-    return records.select("input", "response")
+    stamped = F.col("timestamp").isNotNull().alias("stamped")
+    return records.select(stamped, "input", "style", "prompt", "response", "model")
 
 
 @register(

@@ -20,14 +20,14 @@ def _session(spark):
 
 
 def _in_files(df, key: str, label: str) -> str:
-    """Four files by key; the last also repeats a part of the first."""
+    """Four appends by key; the last also repeats a part of the first."""
     path = new_path(df.sparkSession, label)
     part = F.col(key) % 4
     for at in range(4):
         rows = df.filter(part == at)
         if at == 3:
             rows = rows.unionByName(df.filter(F.col(key) % 8 == 0))
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
     return path
 
 

@@ -57,9 +57,13 @@ def chat_grpo(spark, d):
 _OPEN = prompts.CHATML.turn_open
 
 
-def rendered_sql(*turns: tuple[str, str], ending: str = "") -> str:
+def rendered_sql(
+    *turns: tuple[str, str],
+    ending: str = "",
+    tags: tuple[str, str, str] = ("<|im_start|>", "\n", "<|im_end|>\n"),
+) -> str:
     parts = [
-        f"{text_sql(_OPEN + role + chr(10))} || {content} || {text_sql('<|im_end|>' + chr(10))}"
+        f"{text_sql(tags[0] + role + tags[1])} || {content} || {text_sql(tags[2])}"
         for role, content in turns
     ]
     if ending:
@@ -70,6 +74,8 @@ def rendered_sql(*turns: tuple[str, str], ending: str = "") -> str:
 PROMPT_TURNS = (("system", _SYSTEM), ("user", _TRAIN))
 FULL_SQL = rendered_sql(*PROMPT_TURNS, ("assistant", "neutral"))
 PROMPT_SQL = rendered_sql(*PROMPT_TURNS, ending=_OPEN + "assistant\n")
+_EMPTY = text_sql("<think>\n\n</think>\n\n")
+QUIET_FULL_SQL = rendered_sql(*PROMPT_TURNS, ("assistant", f"{_EMPTY} || neutral"))
 QUIET_SQL = rendered_sql(*PROMPT_TURNS, ending=_OPEN + "assistant\n<think>\n\n</think>\n\n")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from checks import recipes as r
 from checks.recipes import sql
 from checks.registry import r6, register, text_sql
-from checks.texts import FULL_SQL, PROMPT_SQL
+from checks.texts import PROMPT_TURNS, QUIET_FULL_SQL, QUIET_SQL, rendered_sql
 from tandem.functions import arrays
+from tandem.functions.prompts import ChatTags
 from tandem.functions.text import CHAT_TOKEN_PATTERN, chat_tokens
 from tandem.operators import builders, ranking
 from tandem.operators.vocabulary import FIRST_ID, Vocabulary, build_vocabulary
@@ -102,17 +103,17 @@ def pad_truncate(spark, d):
 
 
 # The prompt is the first words of the same text; ids 2 and 3 count as newlines.
-_LABELS = f"""WITH t as (select sample_id, {_padded_sql("ids", 128, "right")} as full_ids,
-    least(sample_id % 40, len(ids), 128) as prompt_len
+_LABELS = f"""WITH t as (select sample_id, {_padded_sql("ids", 512, "right")} as full_ids,
+    least(sample_id % 40, len(ids), 512) as prompt_len
     from (select sample_id, {_IDS} as ids from pairs)),
-  u as (select *, coalesce(list_min(list_filter(range(128),
-      lambda i: i >= prompt_len and full_ids[i + 1] not in (2, 3))), 128) as start from t)"""
+  u as (select *, coalesce(list_min(list_filter(range(512),
+      lambda i: i >= prompt_len and full_ids[i + 1] not in (2, 3))), 512) as start from t)"""
 
 
 def _labelled(spark, d):
     rows = r.pairs(spark, d).select("sample_id", _ids("biased").alias("ids"))
-    rows = rows.withColumn("full", arrays.pad_truncate(F.col("ids"), 128))
-    prompt = F.slice("ids", F.lit(1), F.least(F.col("sample_id") % 40, F.lit(128)).cast("int"))
+    rows = rows.withColumn("full", arrays.pad_truncate(F.col("ids"), 512))
+    prompt = F.slice("ids", F.lit(1), F.least(F.col("sample_id") % 40, F.lit(512)).cast("int"))
     labels = arrays.label_mask(F.col("full"), prompt, 0, newlines=(2, 3))
     return rows.select("sample_id", labels.alias("labels"))
 
@@ -121,7 +122,7 @@ def _labelled(spark, d):
     "label_mask",
     sql(
         _LABELS
-        + """ select sample_id, array_to_string(list_transform(range(128),
+        + """ select sample_id, array_to_string(list_transform(range(512),
                lambda i: case when i < start then -100 else full_ids[i + 1] end), ',') as labels
              from u""",
         "pairs",
@@ -135,7 +136,7 @@ def label_mask(spark, d):
     "response_start",
     sql(
         _LABELS
-        + """ select sample_id, case when start < 128 then start end as start from u""",
+        + """ select sample_id, case when start < 512 then start end as start from u""",
         "pairs",
     ),
 )
@@ -147,47 +148,58 @@ def response_start(spark, d):
 
 # --- training sets ------------------------------------------------------------
 
-r.cte(
-    "parts",
-    f"""select sample_id, 'full' as part, {FULL_SQL} as text from clean
-        union all select sample_id, 'prompt', {PROMPT_SQL} from clean
-        union all select sample_id, 'source', biased from clean""",
-    "clean",
-)
-r.cte(
-    "part_tokens",
-    f"""select sample_id, part, unnest(range(len(t))) as pos, unnest(t) as token
-        from (select sample_id, part, {tokens_sql("text")} as t from parts)""",
-    "parts",
-)
-r.cte(
-    "pair_vocab",
-    f"""select token, row_number() over (order by count(*) desc, token) - 1 + {FIRST_ID} as token_id
-        from part_tokens group by token""",
-    "part_tokens",
-)
-r.cte(
-    "part_ids",
-    """select sample_id,
-         list(token_id order by pos) filter (part = 'full') as full_ids,
-         list(token_id order by pos) filter (part = 'prompt') as prompt_ids,
-         coalesce(list(token_id order by pos) filter (part = 'source'), []) as source_ids
-       from part_tokens join pair_vocab using (token) group by sample_id""",
-    "part_tokens",
-    "pair_vocab",
-)
-r.cte(
-    "tokenised",
-    f"""select *, case when i < start then -100 else padded[i + 1] end as label
-        from (select *, coalesce(list_min(list_filter(range(512), lambda j: j >= prompt_len
-                and not list_contains(newlines, padded[j + 1]))), 512) as start
-              from (select sample_id, {_padded_sql("full_ids", 512, "right")} as padded,
-                      {_padded_sql("source_ids", 512, "right")} as source_padded,
-                      least(len(prompt_ids), 512) as prompt_len, len(full_ids) as n,
-                      (select list(token_id) from pair_vocab
-                        where token in (chr(10), chr(10) || chr(10))) as newlines
-                    from part_ids)), lateral (select unnest(range(512)) as i)""",
-    "part_ids",
+def _token_tables(end: str, full: str, prompt: str) -> None:
+    r.cte(
+        f"parts{end}",
+        f"""select sample_id, 'full' as part, {full} as text from clean
+            union all select sample_id, 'prompt', {prompt} from clean
+            union all select sample_id, 'source', biased from clean""",
+        "clean",
+    )
+    r.cte(
+        f"part_tokens{end}",
+        f"""select sample_id, part, unnest(range(len(t))) as pos, unnest(t) as token
+            from (select sample_id, part, {tokens_sql("text")} as t from parts{end})""",
+        f"parts{end}",
+    )
+    r.cte(
+        f"pair_vocab{end}",
+        f"""select token, row_number() over (order by count(*) desc, token) - 1 + {FIRST_ID} as token_id
+            from part_tokens{end} group by token""",
+        f"part_tokens{end}",
+    )
+    r.cte(
+        f"part_ids{end}",
+        f"""select sample_id,
+             list(token_id order by pos) filter (part = 'full') as full_ids,
+             list(token_id order by pos) filter (part = 'prompt') as prompt_ids,
+             coalesce(list(token_id order by pos) filter (part = 'source'), []) as source_ids
+           from part_tokens{end} join pair_vocab{end} using (token) group by sample_id""",
+        f"part_tokens{end}",
+        f"pair_vocab{end}",
+    )
+    r.cte(
+        f"tokenised{end}",
+        f"""select *, case when i < start then -100 else padded[i + 1] end as label
+            from (select *, coalesce(list_min(list_filter(range(512), lambda j: j >= prompt_len
+                    and not list_contains(newlines, padded[j + 1]))), 512) as start
+                  from (select sample_id, {_padded_sql("full_ids", 512, "right")} as padded,
+                          {_padded_sql("source_ids", 512, "right")} as source_padded,
+                          least(len(prompt_ids), 512) as prompt_len, len(full_ids) as n,
+                          (select list(token_id) from pair_vocab{end}
+                            where token in (chr(10), chr(10) || chr(10))) as newlines
+                        from part_ids{end})), lateral (select unnest(range(512)) as i)""",
+        f"part_ids{end}",
+    )
+
+
+_token_tables("", QUIET_FULL_SQL, QUIET_SQL)
+_OTHER = ChatTags("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>")
+_OTHER_SQL = ("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>")
+_token_tables(
+    "_other",
+    rendered_sql(*PROMPT_TURNS, ("assistant", "neutral"), tags=_OTHER_SQL),
+    rendered_sql(*PROMPT_TURNS, ending="<|start_header_id|>assistant<|end_header_id|>\n\n", tags=_OTHER_SQL),
 )
 _SETS = """select sample_id, array_to_string(any_value(padded), ',') as input_ids,
     string_agg(case when i < n then 1 else 0 end, ',' order by i) as attention_mask,
@@ -195,15 +207,19 @@ _SETS = """select sample_id, array_to_string(any_value(padded), ',') as input_id
 _SOURCE = ", array_to_string(any_value(source_padded), ',') as tokenized_input"
 
 
-def _set(build):
+def _set(task, **template):
     def run(spark, d):
         pairs = r.staged(r.clean(spark, d))
-        return build(pairs, builders.pair_vocabulary(pairs))
+        return builders.build_dataset(pairs, task, builders.pair_vocabulary(pairs, **template), **template)
 
     return run
 
 
-register("build_sft", sql(_SETS.format(extra="", join=""), "tokenised"))(_set(builders.build_sft))
+register("build_sft", sql(_SETS.format(extra="", join=""), "tokenised"))(_set("SFT"))
+register(
+    "build_sft_tags",
+    sql(_SETS.replace("from tokenised", "from tokenised_other").format(extra="", join=""), "tokenised_other"),
+)(_set("SFT", tags=_OTHER, thinking_off=False))
 register(
     "build_eval",
     sql(
@@ -213,7 +229,7 @@ register(
         ),
         "tokenised",
     ),
-)(_set(builders.build_eval))
+)(_set("EVAL"))
 register(
     "build_distil",
     sql(
@@ -222,7 +238,7 @@ register(
         ),
         "tokenised",
     ),
-)(_set(builders.build_distil))
+)(_set("DISTIL"))
 
 
 @register(
@@ -243,7 +259,7 @@ register(
     ),
 )
 def build_binary(spark, d):
-    return _set(builders.build_binary)(spark, d)
+    return _set("BinaryClassification")(spark, d)
 
 
 # --- ranking ------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,41 +28,57 @@ SEQUENCE_LENGTH, CLASSIFIER_LENGTH = 512, 1024
 KEY = "sample_id"
 
 
-def _template() -> tuple[str, str, str]:
+@dataclass(frozen=True)
+class Template:
+    """A training chat as token lists around its two texts.
+
+    It is cut where tokens end whatever the texts are; only the last token before the
+    answer may run on, so its text, ``lead``, is read with the answer.
+    """
+
+    before: list[str]
+    between: list[str]
+    after: list[str]
+    lead: str
+
+    def answer_tokens(self) -> Column:
+        return chat_tokens(F.concat(F.lit(self.lead), F.col("neutral")))
+
+
+def training_template(tags: prompts.ChatTags = prompts.CHATML, thinking_off: bool = True) -> Template:
     """What a training chat says before the source, between the texts, and after."""
-    tags, user = prompts.CHATML, fixed.TRAINING_USER.removesuffix("{text}")
+    user = fixed.TRAINING_USER.removesuffix("{text}")
     before = (
         tags.turn_open + "system" + tags.role_end + fixed.SYSTEM_PROMPT + tags.turn_close
         + tags.turn_open + "user" + tags.role_end + user
     )
     between = tags.turn_close + tags.turn_open + tags.answer_role + tags.role_end
-    return before, between, tags.turn_close
-
-
-# The chat as token lists. It is cut where tokens end whatever the texts are; only
-# the line end before the answer may run on, so it is read with the answer.
-_BEFORE, _BETWEEN, _AFTER = (re.findall(CHAT_TOKEN_PATTERN, part) for part in _template())
-_ROLE_END = _BETWEEN[-1]
+    if thinking_off:
+        between += tags.no_thinking
+    *_, last = re.finditer(CHAT_TOKEN_PATTERN, between)
+    parts = (re.findall(CHAT_TOKEN_PATTERN, part) for part in (before, between, tags.turn_close))
+    return Template(*parts, between[last.start() :])
 
 
 def _source_tokens() -> Column:
     return chat_tokens(F.col("biased"))
 
 
-def _answer_tokens() -> Column:
-    return chat_tokens(F.concat(F.lit(_ROLE_END), F.col("neutral")))
-
-
-def pair_vocabulary(pairs: DataFrame) -> Vocabulary:
+def pair_vocabulary(
+    pairs: DataFrame, tags: prompts.ChatTags = prompts.CHATML, thinking_off: bool = True
+) -> Vocabulary:
     """A vocabulary over what the builders write: chats, prompts and sources.
 
     Only the texts are tokenised; the fixed wording is counted once and weighed
     by the number of pairs.
     """
-    weighted = F.concat(weigh(_source_tokens(), 3), weigh(_answer_tokens()))
+    chat = training_template(tags, thinking_off)
+    weighted = F.concat(weigh(_source_tokens(), 3), weigh(chat.answer_tokens()))
     counts = count_tokens(pairs.select(weighted.alias("weighted")), "weighted")
     rows = pairs.count()
-    wording = Counter(_BEFORE + _BETWEEN[:-1] + _AFTER) + Counter(_BEFORE + _BETWEEN)
+    wording = Counter(chat.before + chat.between[:-1] + chat.after) + Counter(
+        chat.before + chat.between
+    )
     fixed_counts = pairs.sparkSession.createDataFrame(
         [(token, n * rows) for token, n in wording.items()], "token string, n long"
     )
@@ -78,20 +95,25 @@ def tokenize_pairs(
     side: str = "right",
     newlines: tuple[int, ...] | None = None,
     mask_pads: bool = False,
+    tags: prompts.ChatTags = prompts.CHATML,
+    thinking_off: bool = True,
 ) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` of each pair.
 
     ``source`` adds ``tokenized_input``, the source text alone; ``keep`` names
     columns of ``pairs`` to carry along. ``newlines`` are the ids skipped at the
-    start of an answer, by default those of one and two line ends.
+    start of an answer, by default those of one and two line ends. ``tags`` and
+    ``thinking_off`` (an empty reasoning block before the answer) shape the whole
+    chat and its prompt, and are the ones the vocabulary was counted with.
     """
+    chat = training_template(tags, thinking_off)
     before, between, after, line_ends = vocabulary.constants(
-        _BEFORE, _BETWEEN, _AFTER, ("\n\n", "\n")
+        chat.before, chat.between, chat.after, ("\n\n", "\n")
     )
     if newlines is None:
         newlines = tuple(i for i in line_ends if i != UNKNOWN_ID)
     ids = vocabulary.encode(
-        pairs, KEY, {"source": _source_tokens(), "answer": _answer_tokens()}
+        pairs, KEY, {"source": _source_tokens(), "answer": chat.answer_tokens()}
     )
     ids = ids.withColumns(
         {

@@ -196,3 +196,13 @@ def batch_summary(losses: DataFrame, batch: Column) -> DataFrame:
 def mixed_loss(kl: Column, hard: Column, alpha: float = ALPHA) -> Column:
     """Weighted sum of both losses; the hard loss alone where there is no divergence."""
     return F.coalesce(alpha * kl + (1 - alpha) * hard, hard)
+
+
+def batch_loss(losses: DataFrame, batch: Column, alpha: float = ALPHA) -> DataFrame:
+    """(batch, kl, hard, loss): the losses averaged over each batch, then mixed.
+
+    ``losses`` has one row per sample with kl and hard. Samples without a divergence count in the
+    hard mean alone; a batch without any divergence has its hard loss.
+    """
+    means = losses.groupBy(batch.alias("batch")).agg(F.avg("kl").alias("kl"), F.avg("hard").alias("hard"))
+    return means.withColumn("loss", mixed_loss(F.col("kl"), F.col("hard"), alpha))

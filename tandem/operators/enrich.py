@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tandem.operators.skew import salted_join
 from tandem.session import stage
@@ -40,7 +41,8 @@ def call_rows(
     """Add the result fields, ``ok`` and ``error`` to every row.
 
     At most ``max_concurrent`` calls run at once over the whole job: rows are
-    spread by ``key`` over that many tasks or fewer, each with its share.
+    spread by ``key`` over that many tasks or fewer, each with its share. The
+    columns of ``df`` pass through as Arrow arrays, unchanged.
     """
     tasks = max(1, min(max_concurrent, df.sparkSession.sparkContext.defaultParallelism))
     in_flight = max(1, max_concurrent // tasks)
@@ -51,6 +53,7 @@ def call_rows(
         + [T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())]
     )
     key = list(key)
+    added = to_arrow_schema(T.StructType(schema.fields[len(df.columns) :]))
 
     def attempt(row: dict) -> dict:
         try:
@@ -62,17 +65,14 @@ def call_rows(
             return {"ok": False, "error": "no answer"}
         return {**answer, "ok": True, "error": None}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
-                answers = list(pool.map(attempt, batch.to_dict("records")))
-                out = batch.copy()
-                for name in [*names, "ok", "error"]:
-                    values = [answer.get(name) for answer in answers]
-                    out[name] = pd.Series(values, index=batch.index, dtype=object)
-                yield out
+                answers = list(pool.map(attempt, batch.to_pylist()))
+                found = [pa.array([answer.get(f.name) for answer in answers], f.type) for f in added]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], schema.names)
 
-    return df.repartition(tasks, *key).mapInPandas(run, schema)
+    return df.repartition(tasks, *key).mapInArrow(run, schema)
 
 
 def latest_by_key(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -181,12 +181,12 @@ def batch_predict(
     """Add ``predicted``: texts go to ``predict`` in lists of ``size``."""
     schema = T.StructType([*df.schema.fields, T.StructField("predicted", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch[text].tolist()
+            texts = batch.column(text).to_pylist()
             found: list[str] = []
             for at in range(0, len(texts), size):
                 found += predict(texts[at : at + size])
-            yield batch.assign(predicted=found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
 
-    return stage(df.mapInPandas(run, schema), "predictions")
+    return stage(df.mapInArrow(run, schema), "predictions")

@@ -57,3 +57,12 @@ def greedy_match_by_sample(
 ) -> DataFrame:
     """Token-matching F1 per sample; a sample's vectors are arrays in its row."""
     return vectors.select(key, greedy_f1(a, b).alias("bertscore_f1"))
+
+
+def vector_scores(vectors: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Both comparisons of each sample, from one reading of its vectors."""
+    return vectors.select(
+        key,
+        cosine(F.col("predicted_vec"), F.col("neutral_vec")).alias("similarity"),
+        greedy_f1("predicted_vecs", "neutral_vecs").alias("bertscore_f1"),
+    )

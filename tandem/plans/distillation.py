@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.prompts import teacher_messages
+from tandem.functions.text import chat_tokens
 from tandem.operators.distil import (
     ALPHA,
     TEMPERATURE,
-    flatten_logprobs,
     mixed_loss,
     position_losses,
     sample_losses,
@@ -46,34 +46,30 @@ def teacher_answers(
 def with_token_ids(responses: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Teacher rows (sample_id, pos, chosen, top) with tokens replaced by ids.
 
-    Tokens outside ``vocabulary`` (token, token_id) get a null id.
+    A teacher token is cut as texts are and stands for its first piece, so that a
+    leading space or a longer token finds its id. Without a piece, or with one
+    outside ``vocabulary`` (token, token_id), the id is null.
     """
-    ids = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))
-    flat = flatten_logprobs(responses)
-    chosen = flat.filter(F.coalesce("top_idx", F.lit(0)) == 0).select(
-        "sample_id", "pos", F.lit(-1).alias("at"), "token", "logprob"
-    )
-    others = flat.filter(F.col("top_idx").isNotNull()).select(
-        "sample_id",
-        "pos",
-        F.col("top_idx").alias("at"),
-        F.col("top_token").alias("token"),
-        F.col("top_logprob").alias("logprob"),
-    )
-    found = lookup_join(
-        chosen.unionByName(others), ids, ["token"], spread_by=["sample_id", "pos", "at"]
-    )
-    entry = F.struct("at", F.struct(F.col("token_id").alias("token"), "logprob").alias("entry"))
-    listed = F.array_sort(
-        F.collect_list(entry),
-        lambda a, b: a["at"] - b["at"],
+    ids = vocabulary.select(F.col("token").alias("piece"), F.col("token_id").cast("int").alias("token_id"))
+
+    def entry(c: Column) -> Column:
+        return F.struct(c["token"].alias("token"), c["logprob"].alias("logprob"))
+
+    others = F.coalesce(F.transform("r.top_logprobs", entry), F.expr("cast(array() as array<struct<token:string,logprob:double>>)"))
+    found = (
+        responses.select("sample_id", F.posexplode("logprobs").alias("pos", "r"))
+        .select("sample_id", "pos", F.posexplode(F.concat(F.array(entry(F.col("r"))), others)).alias("at", "e"))
+        .select("sample_id", "pos", "at", F.get(chat_tokens(F.col("e.token")), F.lit(0)).alias("piece"), "e.logprob")
     )
-    rows = found.groupBy("sample_id", "pos").agg(listed.alias("_all"))
+    found = lookup_join(found, ids, ["piece"], spread_by=["sample_id", "pos", "at"])
+    entries = F.sort_array(F.collect_list(F.struct("at", F.col("token_id").alias("token"), "logprob")))
+    shown = F.transform(entries, lambda e: F.struct(e["token"].alias("token"), e["logprob"].alias("logprob")))
+    rows = found.groupBy("sample_id", "pos").agg(shown.alias("_all"))
     return rows.select(
         "sample_id",
         "pos",
-        F.get("_all", F.lit(0))["entry"].alias("chosen"),
-        F.transform(F.slice("_all", 2, F.size("_all")), lambda e: e["entry"]).alias("top"),
+        F.get("_all", F.lit(0)).alias("chosen"),
+        F.slice("_all", 2, F.size("_all")).alias("top"),
     )
 
 

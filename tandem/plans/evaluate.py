@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.text import words
 from tandem.operators.overlap import bleu_sums, bleu_value, overlap_by_sample, rouge_f1
 from tandem.operators.sequences import meteor_by_sample, rouge_l_by_sample
-from tandem.operators.similarity import greedy_match_by_sample, similarity_by_sample
+from tandem.operators.similarity import vector_scores
 from tandem.session import stage
 
 # Metric names, the ones given in percent, and the value that stands
@@ -28,32 +29,39 @@ TEXT_METRICS = METRICS[:5]
 MISSING = -1.0
 
 
-def score_samples(texts: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def score_samples(
+    texts: DataFrame,
+    vectors: DataFrame | None = None,
+    tokens: Callable[[Column], Column] = words,
+    classes: Sequence[DataFrame] = (),
+) -> DataFrame:
     """Every per-sample number the corpus metrics are reduced from.
 
     ``texts`` has (sample_id, predicted, neutral); ``vectors`` may add, per
     sample, ``predicted_vec``/``neutral_vec`` and arrays of token vectors
-    ``predicted_vecs``/``neutral_vecs``. Texts are written once and read by each
+    ``predicted_vecs``/``neutral_vecs``; ``tokens`` and ``classes`` go to METEOR. Texts are written once and read by each
     metric; all branches are partitioned by ``sample_id`` and join in place.
     """
     texts = stage(texts.select("sample_id", "predicted", "neutral"), "texts")
     scores = (
         overlap_by_sample(texts)
-        .join(meteor_by_sample(texts).select("sample_id", "meteor"), "sample_id")
+        .join(meteor_by_sample(texts, tokens=tokens, classes=classes).select("sample_id", "meteor"), "sample_id")
         .join(rouge_l_by_sample(texts), "sample_id")
     )
     if vectors is not None:
-        scores = scores.join(similarity_by_sample(vectors), "sample_id", "left").join(
-            greedy_match_by_sample(vectors), "sample_id", "left"
-        )
+        scores = scores.join(vector_scores(vectors), "sample_id", "left")
     return scores
 
 
 def evaluate(
-    texts: DataFrame, judged: DataFrame | None = None, vectors: DataFrame | None = None
+    texts: DataFrame,
+    judged: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    tokens: Callable[[Column], Column] = words,
+    classes: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """One row with the eight metrics; ``judged`` has (sample_id, score)."""
-    scores = score_samples(texts, vectors)
+    scores = score_samples(texts, vectors, tokens, classes)
     if judged is not None:
         scores = scores.join(judged.select("sample_id", "score"), "sample_id", "left")
 
