@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries a worker's table of word hashes or word ids may hold before it starts afresh.
-CACHE_WORDS = 800_000
+#: Entries a worker's table of word ids, or of word hashes, may hold before it starts afresh.
+CACHE_WORDS, CACHE_HASHES = 800_000, 200_000
 
 
 def text_or_empty(text: Column | str) -> Column:
@@ -39,10 +39,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered up to ``CACHE_WORDS`` words."""
+    """64-bit hash of a word, remembered up to ``CACHE_HASHES`` words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_HASHES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
