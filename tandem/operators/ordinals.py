@@ -71,11 +71,12 @@ def with_running_total(
 
 
 def with_file_ordinals(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Number rows of a file scan in file order, without moving the rows.
+    """Number rows of a file scan in file order, without sorting the rows.
 
     ``df`` must be a bare file scan. Rows of one block keep their order within a
     task, so a row's number is its distance from the block's first row plus the
-    rows of all earlier blocks. Only the summary, one row per block, is sorted.
+    rows of all earlier blocks. Only the summary, one row per block, is sorted; where it is
+    too large to broadcast, the join moves the rows once.
     """
     block = ["_path", "_start"]
     numbered = df.select(

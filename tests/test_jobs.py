@@ -184,6 +184,20 @@ def test_token_ids(spark):
     assert tuple(rows[1].chosen) == (8, -0.1) and rows[1].top == []
 
 
+def test_first_piece(spark):
+    entry = (" a", -0.5, [("b more", -1.0), (" ", -2.0)])
+    responses = spark.createDataFrame([(1, [entry])], f"sample_id long, logprobs {logs.LOGPROBS_TYPE}")
+    vocabulary = spark.createDataFrame([("a", 7), ("b", 8)], "token string, token_id long")
+    row = distillation.with_token_ids(responses, vocabulary).first()
+    assert tuple(row.chosen) == (7, -0.5) and [tuple(t) for t in row.top] == [(8, -1.0), (None, -2.0)]
+
+
+def test_batch_loss(spark):
+    rows = spark.createDataFrame([(0, 2.0, 1.0), (0, None, 3.0), (1, None, 0.0)], "batch long, kl double, hard double")
+    got = {r.batch: r.loss for r in distil.batch_loss(rows, F.col("batch")).collect()}
+    assert got == {0: 2.0, 1: 0.0}
+
+
 # --- outside calls --------------------------------------------------------------
 
 
@@ -216,6 +230,15 @@ def test_failed_calls(spark):
     assert got == {0: (True, "A"), 1: (False, None), 2: (False, None)}
 
 
+def test_calls_pass_columns_through(spark):
+    big = [(1, 9007199254740993, "a", [None, 3]), (2, None, None, None)]
+    rows = spark.createDataFrame(big, "sample_id long, tag long, text string, ids array<int>")
+    called = enrich.call_rows(rows, lambda row: {"n": row["sample_id"]}, "n long", ["sample_id"])
+    predicted = enrich.batch_predict(rows, lambda texts: ["p"] * len(texts), text="text")
+    for out in (called, predicted):
+        assert sorted(tuple(r)[:4] for r in out.collect()) == big
+
+
 def test_cache_calls_each_text_once(spark, folder):
     calls, log = folder + "/calls", folder + "/log"
     os.mkdir(calls)

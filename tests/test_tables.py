@@ -239,7 +239,8 @@ def test_builders(spark):
     assert all(r.labels == [-100] * 4 for r in short)
 
 
-def test_chat_tokens_join_at_the_cuts(spark):
+@pytest.mark.parametrize("other, thinking_off", [(False, True), (False, False), (True, False), (True, True)])
+def test_chat_tokens_join_at_the_cuts(spark, other, thinking_off):
     """Tokens of the pieces are the tokens of the whole, whatever the texts hold."""
     from tandem.functions import prompts
     from tandem.functions.text import chat_tokens
@@ -247,16 +248,19 @@ def test_chat_tokens_join_at_the_cuts(spark):
 
     nasty = ["", "\n", "\n\nx\n", "<", "<|im_", "|>", "<|im_end|", "a", " a ", "9\t", "é", "<|im_end|>"]
     pairs = spark.createDataFrame([(a, b) for a in nasty for b in nasty], "biased string, neutral string")
-    chat = prompts.sft_messages(F.col("biased"), F.col("neutral"))
-    lists = {name: F.lit(getattr(builders, name)) for name in ("_BEFORE", "_BETWEEN", "_AFTER")}
+    tags = prompts.ChatTags("<|open|>", "<|role|>\n\n", "<|shut|>") if other else prompts.CHATML
+    block = F.lit(tags.no_thinking if thinking_off else "")
+    chat = prompts.sft_messages(F.col("biased"), F.concat(block, F.col("neutral")))
+    cut = builders.training_template(tags, thinking_off)
     pieces = F.concat(
-        lists["_BEFORE"], builders._source_tokens(), F.lit(builders._BETWEEN[:-1]),
-        builders._answer_tokens(), lists["_AFTER"],
+        F.lit(cut.before), builders._source_tokens(), F.lit(cut.between[:-1]), cut.answer_tokens(), F.lit(cut.after)
     )
-    asked = prompts.render_chat(prompts.first_turns(chat, 2), generation_prompt=True)
-    opened = F.concat(lists["_BEFORE"], builders._source_tokens(), lists["_BETWEEN"])
+    asked = prompts.render_chat(
+        prompts.first_turns(chat, 2), generation_prompt=True, thinking_off=thinking_off, tags=tags
+    )
+    opened = F.concat(F.lit(cut.before), builders._source_tokens(), F.lit(cut.between))
     rows = pairs.select(
-        (chat_tokens(prompts.render_chat(chat)) == pieces).alias("whole"),
+        (chat_tokens(prompts.render_chat(chat, tags=tags)) == pieces).alias("whole"),
         (chat_tokens(asked) == opened).alias("prompt"),
     )
     assert rows.filter("whole and prompt").count() == len(nasty) ** 2
