@@ -88,6 +88,16 @@ def test_near_large_group(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(label))
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 40, 5000, 9000, 7000)]
+    wanted = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+    assert minhash.overlaps(sets[:4], sets[2:]).tolist() == wanted
+    linked = np.ones((2, 3), bool)
+    ids = np.arange(3)
+    assert len(minhash._joining(linked, ids[:2], ids[:2], ids + 5, ids)) == 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {**{i: 0 for i in range(1, 41)}, 100: 99}
