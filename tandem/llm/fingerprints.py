@@ -20,6 +20,13 @@ from tandem.session import stage
 WORDS = 5
 #: Hashes, as 16 hexadecimal digits, below this are kept: one in eight.
 BELOW = "2000000000000000"
+#: Columns that name a document within the joins.
+_KEY = ["_id", "_no_id", "_hash"]
+
+
+def _id_key(doc_id: str, name: str, missing: str) -> tuple[Column, Column]:
+    """An id as two columns without nulls, which plain equality compares."""
+    return F.coalesce(F.col(doc_id), F.lit(0).cast("bigint")).alias(name), F.col(doc_id).isNull().alias(missing)
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -108,34 +115,36 @@ def fingerprints(docs: DataFrame, below: str = BELOW) -> DataFrame:
     fingerprint, edited_fingerprint, next_fingerprint (arrays). Rows equal in id
     and text count as one document and keep their number. An empty table gives
     an empty result. A text moves once, its successor's share and fingerprint
-    too; where the ordered ids are too many to broadcast, it moves twice.
+    too, whether or not the ordered ids are few enough to broadcast.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
     follows = with_next(texts)
-    keyed = texts.withColumn("_hash", F.xxhash64("text"))
-    ahead = (
-        follows.select(
-            F.col("next_id").alias("_id"), F.col("next_hash").alias("_hash2"),
-            F.col("doc_id").alias("_of"), F.col("_hash").alias("_of_hash"), "next_share",
-        )
-    )
+    # the id lives in its key alone, so that both joins deal the texts alike and share one exchange
+    keyed = texts.select(*_id_key("doc_id", "_id", "_no_id"), F.xxhash64("text").alias("_hash"), "text")
+    ahead = follows.select(
+        *_id_key("next_id", "_id", "_no_id"),
+        F.col("next_hash").alias("_hash"),
+        *_id_key("doc_id", "_of", "_of_no_id"),
+        F.col("_hash").alias("_of_hash"),
+        "next_share",
+    )
     shares = (
-        bounded_join(
-            keyed, ahead, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "inner"
-        )
+        bounded_join(keyed, ahead, _KEY, "inner")
         .select(
-            "_of",
-            "_of_hash",
+            F.col("_of").alias("_id"),
+            F.col("_of_no_id").alias("_no_id"),
+            F.col("_of_hash").alias("_hash"),
             F.substring(F.col("text"), F.lit(1), F.col("next_share")).alias("_share"),
             fingerprint(F.col("text"), below).alias("next_fingerprint"),
         )
-        .dropDuplicates(["_of", "_of_hash"])
+        .dropDuplicates(_KEY)
     )
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.col("_share"))
+    doc_id = F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id")
     return (
-        keyed.join(shares, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")))
-        .select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "text", "next_fingerprint")
+        keyed.join(shares, _KEY)
+        .select(doc_id, n.cast("bigint").alias("n_chars"), edited.alias("edited"), "text", "next_fingerprint")
         .select(
             "doc_id",
             "n_chars",
