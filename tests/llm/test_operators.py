@@ -140,6 +140,121 @@ def test_licenses(spark, docs, none):
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(none).count() == 0
 
 
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_2 = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_3 = BSD_2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+"""
+GPL_3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+LGPL_21 = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+"""
+APACHE_HEAD = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+GPL_3_HEAD = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+"""
+MPL = """  This Source Code Form is subject to the terms of the Mozilla Public
+  License, v. 2.0. If a copy of the MPL was not distributed with this
+  file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+MPL_HEAD = "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n"
+
+
+def test_canonical_licenses(spark):
+    head = "MIT License\n\nCopyright (c) 2020 Jane Doe\n"
+    texts = [
+        (head + "\n" + GRANT, ["MIT"]),
+        (head + GRANT, ["MIT"]),
+        ("/*\n" + "".join(f" * {line}\n" for line in (head + "\n" + GRANT).split("\n")) + " */\nint main;", ["MIT"]),
+        ((head + "\n" + GRANT).replace("\n", "\r\n"), ["MIT"]),
+        (GRANT[: GRANT.index("THE SOFTWARE IS")], []),
+        (BSD_2, ["BSD-2-Clause"]),
+        (BSD_3, ["BSD-3-Clause"]),
+        (BSD_3.replace("1. ", "a) ").replace("2. ", "b) ").replace("3. ", "* "), ["BSD-3-Clause"]),
+        (BSD_3.replace("1. ", "(1) ").replace("2. ", "(2) ").replace("distribution.", "distribution; and"), ["BSD-3-Clause"]),
+        (GPL_2, ["GPL-2.0-or-later"]),
+        (GPL_3, ["GPL-3.0-or-later"]),
+        (LGPL_21, ["LGPL-2.1-or-later"]),
+        (APACHE, ["Apache-2.0"]),
+        (APACHE_HEAD, ["Apache-2.0"]),
+        (GPL_3_HEAD, ["GPL-3.0-only"]),
+        (MPL, ["MPL-2.0"]),
+        (MPL.replace("2.0.", "1.1."), []),
+        (MPL_HEAD, ["MPL-2.0"]),
+        ("See\n\n" * 3000 + MPL + "\n" * 30_000 + "The end, v. 2.0.", ["MPL-2.0"]),
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(frame).collect()}
+    assert got == {i: wanted for i, (_, wanted) in enumerate(texts)}
+
+
+def test_license_rules_fire(spark):
+    """Every rule's own sentences, as they are and wrapped, announce its licence."""
+    every = licenses.SENTENCES | licenses.MORE_SENTENCES
+    rules = licenses.RULES + licenses.MORE_RULES
+    texts = [" ".join(every[n] for n in names) for _, names in rules] + ["\n".join(every[n] for n in names) for _, names in rules]
+    frame = spark.createDataFrame([(i, f"A text.\n\n{t}\n\nMore") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(frame).collect()}
+    missing = [(license_, got[i]) for i, (license_, _) in enumerate(rules * 2) if license_ not in got[i]]
+    assert not missing, missing
+
+
 def test_training_order(spark, docs, none):
     for total in (1, 2, 7, 1000):
         assert sorted(training_order.slots(np.arange(total), total)) == list(range(total))
