@@ -2,7 +2,8 @@
 
 Prose costs few tokens; random strings cost one for every two signs or so. A run
 of key-like signs whose characters per token are below a bound is reported, once
-digests of known lengths, UUIDs, numbers and dictionary-like identifiers are out.
+digests of known lengths, UUIDs and plain numbers are out. Identifiers made of
+words have many characters a token and need no rule of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +28,13 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Least signs of a run that is scored, with a digit and without.
+LEAST, LEAST_LETTERS = 12, 16
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 _DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
-_WORDY = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4}")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 
 #: Characters per token below which a run counts as random.
 CHARS_A_TOKEN = 2.2
@@ -53,14 +57,14 @@ def encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest of a usual length, a UUID, a number, or an identifier made of word parts."""
+    """A digest of a usual length, a UUID, or signs without a letter."""
     if _UUID.fullmatch(run) or len(run) in _DIGESTS and _HEX_ANY.fullmatch(run):
         return True
-    kinds = bool(re.search(r"[a-z]", run)) + bool(re.search(r"[A-Z]", run)) + bool(re.search(r"[0-9]", run))
-    if kinds < 2 or not re.search(r"[0-9]", run):
-        return True
-    parts = [p for piece in re.split(r"[+/_=-]+", run) for p in _WORDY.findall(piece)]
-    return sum(map(len, parts)) >= 5 * len(parts)
+    return not _LETTER.search(run)
+
+
+def is_scored(run: str) -> bool:
+    return len(run) >= (LEAST if _DIGIT.search(run) else LEAST_LETTERS) and not is_known(run)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,16 +76,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, path: str, bound: float = CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
-    runs = [m for m in _RUN.finditer(text) if not is_known(m[0])]
+def outside(start: int, end: int, taken: list[tuple[int, int, int]], at: int = 0) -> Iterator[tuple[int, int]]:
+    """The parts of a span that meet none of the sorted spans from place ``at``."""
+    for a, _, b in islice(taken, at, None):
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def random_spans(
+    text: str, path: str, bound: float = CHARS_A_TOKEN, taken: list[tuple[int, int, int]] | None = None
+) -> list[tuple[int, int, int]]:
+    """Spans of random runs; a run is cut at the sorted spans that are ``taken``, and each part scored."""
+    taken, at, runs = taken or [], 0, []
+    reach = list(accumulate((b for _, _, b in taken), max))
+    for m in _RUN.finditer(text):
+        if is_known(m[0]):
+            continue
+        while at < len(taken) and reach[at] <= m.start():
+            at += 1
+        runs += [(a, b) for a, b in outside(m.start(), m.end(), taken, at) if is_scored(text[a:b])]
     if not runs:
         return []
-    tokens = encoding(path).encode_ordinary_batch([m[0] for m in runs], num_threads=1)
-    return [
-        (m.start(), 3, m.end())
-        for m, ids in zip(runs, tokens, strict=True)
-        if len(m[0]) < bound * len(ids)
-    ]
+    tokens = encoding(path).encode_ordinary_batch([text[a:b] for a, b in runs], num_threads=1)
+    return [(a, 3, b) for (a, b), ids in zip(runs, tokens, strict=True) if b - a < bound * len(ids)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -93,8 +116,8 @@ def secret_spans(docs: DataFrame, ranks: str, bound: float = CHARS_A_TOKEN) -> D
 
     Reads ``doc_id`` and ``text``, ignores other columns. Returns per row doc_id,
     base and spans (arrays of (kind, start, end, value), by start, then kind),
-    base without and spans with the runs found by token efficiency. A run that
-    meets a base span is that span's. Null and empty texts have none; repeated
+    base without and spans with the runs found by token efficiency. What a run
+    shares with a base span is that span's, the rest is scored. Null and empty texts have none; repeated
     rows and rows without an id are scanned each for itself.
     """
 
@@ -104,9 +127,7 @@ def secret_spans(docs: DataFrame, ranks: str, bound: float = CHARS_A_TOKEN) -> D
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 own = base_spans(text)
-                free = [
-                    s for s in random_spans(text, ranks, bound) if not any(s[0] < e and b < s[2] for b, _, e in own)
-                ]
+                free = random_spans(text, ranks, bound, own)
                 for out, spans in ((base, own), (every, sorted(own + free))):
                     out.append(
                         [{"kind": KINDS[k], "start": s, "end": e, "value": text[s:e]} for s, k, e in spans]

@@ -140,6 +140,29 @@ def test_licenses(spark, docs, none):
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(none).count() == 0
 
 
+def test_random_strings(spark):
+    """Random strings of every sign class are found, words, digests and numbers are not, keys around hex are kept."""
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    random = ["qzvkxwjfpbtmrgyd", "QzVkXwJfPbTmRgYdHs", "Zq8vR2xLw9KpT4mY", "k3J9x2Vb7Qw1", "XKQZJWVPBMTRGFYH", "qxzvkwpj1kqxjzwvbn"]
+    plain = [
+        "snake_case_identifier_names_here", "internationalization", "getHttpResponseCode2", "2020-01-01-12-00-00",
+        "12345678901234567890", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "123e4567-e89b-12d3-a456-426614174000",
+        "================", "k3J9x2Vb7Qw",
+    ]
+    hexed = "Zq8vR2xLw9KpT4mY" + "0123456789abcdef" * 2 + "Rk7Vq2XwJ9LpZ4tN"
+    text = " ".join(random + plain + [hexed])
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    assert [s.value for s in row.base] == ["0123456789abcdef" * 2]
+    assert [s.value for s in row.spans] == [*random, "Zq8vR2xLw9KpT4mY", "0123456789abcdef" * 2, "Rk7Vq2XwJ9LpZ4tN"]
+    assert all(text[s.start : s.end] == s.value for s in row.spans)
+    rng = np.random.default_rng(4)
+    for signs in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefABCDEFghijGHIJ0123456789+/"):
+        found = [secrets.random_spans("".join(rng.choice(list(signs), 20)), path) for _ in range(200)]
+        assert sum(map(bool, found)) >= 190
+    assert list(secrets.outside(2, 20, [(0, 0, 3), (5, 0, 9), (6, 0, 8), (12, 0, 14)])) == [(3, 5), (9, 12), (14, 20)]
+    assert list(secrets.outside(2, 20, [(0, 0, 30)])) == []
+
+
 GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
