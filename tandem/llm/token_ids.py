@@ -5,7 +5,8 @@ the ids of a text are the ids of its words, one after the other. Words met
 before come from a bounded table; new ones are encoded together, with a control
 sign of one known id between them. The vocabulary lowers case and takes a sign
 after a letter for itself, so an ASCII word is looked up in small letters, and a
-closing mark after an ASCII letter apart.
+closing mark after an ASCII letter apart. Added tokens are found before case is
+lowered: a word that holds one is encoded by itself, as the vocabulary does it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(len(token.split()) != 1 or token.split()[0] != token for token in added):
+            raise ValueError("an added token holds white space")
+        self.added = [(token, token.lower()) for token in added]
         (self.mark,) = self._ids(_MARK)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -38,6 +43,22 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _encode_added(self, held: list[bytes]) -> None:
+        """Put words that hold an added token into the table, each encoded by itself."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in held], add_special_tokens=False)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+        for word, own in zip(held, found, strict=True):
+            self.known[word] = np.array(own.ids, dtype="<u4").tobytes()
+
+    def _like_added(self, some: list[bytes]) -> list[bytes]:
+        """Words that hold an added token in letters of any case; few batches have one, which one search tells."""
+        lower = b" ".join(some).lower()
+        found = [token for _, token in self.added if token in lower]
+        return [w for w in some if any(token in w.lower() for token in found)] if found else []
+
     def _encode_new(self, new: list[bytes]) -> None:
         # a word of letters alone ends with the first id that ends a word, others with the mark
         letters, others = [], []
@@ -64,6 +85,11 @@ class WordEncoder:
     def _learn(self, missing: list[bytes]) -> None:
         """Put words into the table, from the older one where they are there."""
         parts = {w: parts_of(w) for w in missing if w not in self.older}
+        alike = self._like_added(list(parts))
+        if alike:
+            # such a word keeps its case, so that it and the added token have their own ids
+            parts |= {w: (w,) for w in alike}
+            self._encode_added([w for w in alike if any(token in w for token, _ in self.added)])
         new = {p for own in parts.values() for p in own if p not in self.known and p not in self.older}
         self._encode_new(list(new))
         for word in missing:

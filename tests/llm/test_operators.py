@@ -330,6 +330,37 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_added_tokens(spark):
+    """Ids of texts that hold the vocabulary's added tokens are those of the whole text."""
+    import tokenizers
+
+    from tandem.llm import token_ids
+
+    path = vocabulary("word_bpe_49k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    texts = [
+        "hello <|endoftext|> world",
+        "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>. <|endoftext|>.",
+        "Foo<|endoftext|>Bar <|startoftext|><|endoftext|>! a<|startoftext|",
+        "Gr\u00fc\u00dfe<|endoftext|>\u00c4 I\u0307<|ENDOFTEXT|>\u00a0<|endoftext|>\u00a0B <|endoftext|>\x01c \x01<|endoftext|>",
+        "<|startoftext|>",
+        "<|STARTOFTEXT|>",
+    ]
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [3306, 49407, 1002]
+    encoder = token_ids.WordEncoder(path)
+    assert [own.tolist() for own in encoder.encode([t.encode() for t in texts])] == wanted
+    for order in (texts, texts[::-1]):
+        encoder = token_ids.WordEncoder(path)
+        assert [encoder.encode([t.encode()])[0].tolist() for t in order] == wanted[:: 1 if order is texts else -1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(frame, path, keep_ids=True).collect()
+    for doc_id, ids in enumerate(wanted):
+        own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start)
+        assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in own]).tolist() == ids + [2]
+        assert all(r.doc_tokens == len(ids) + 1 for r in own)
+
+
 def test_pipeline_stages(spark, docs, none):
     for name, apply in corpus_pipeline.STAGES:
         for rows in (docs, none):
