@@ -256,13 +256,13 @@ def _blocks(percent: int):
                     *([np.frombuffer(s, np.uint64) for s in side.shingles] for side in (apart, every))
                 )
                 open_ &= 100 * both >= percent * (n_p + n_q - both)
-            out = _joining(open_, apart.doc_id.to_numpy(), label_p, every.doc_id.to_numpy(), label_q)
+            out = joining(open_, apart.doc_id.to_numpy(), label_p, every.doc_id.to_numpy(), label_q)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _joining(linked: np.ndarray, ids_p, label_p, ids_q, label_q) -> list[tuple[int, int]]:
+def joining(linked: np.ndarray, ids_p, label_p, ids_q, label_q) -> list[tuple[int, int]]:
     """Of the links of a block, those that join labels not joined by earlier ones."""
     parent: dict[int, int] = {}
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,3 +48,50 @@ class WordHashes(dict):
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
+
+
+def _signs(space: bytes, lower: bool) -> np.ndarray:
+    """For each byte: itself, in small letters if wanted, or a space where it ends a word."""
+    out = np.arange(256, dtype=np.uint8)
+    if lower:
+        out[65:91] += 32
+    out[list(space)] = 32
+    return out
+
+
+#: Words between white space, as they are and in small letters, and runs of letters (ASCII in small letters, or beyond ASCII).
+PLAIN = _signs(bytes([32, *range(9, 14)]), False)
+LOWER = _signs(bytes([32, *range(9, 14)]), True)
+LETTERS = _signs(bytes([*range(65), *range(91, 97), *range(123, 128)]), True)
+
+
+def cut(texts: pa.Array, signs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(every word of the texts, one after the other, and each text's number of words)."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = signs[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    inside = data != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = ends[:-1][ends[:-1] < len(data)]
+    begins[firsts] = inside[firsts]
+    starts = np.flatnonzero(begins)
+    data = data[inside]
+    places = np.empty(len(starts) + 1, np.int32)
+    places[:-1] = np.cumsum(inside, dtype=np.int32)[starts] - 1
+    places[-1] = len(data)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)])
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts hold at most ``most`` bytes, or a single longer text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        part = before // most
+        at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        for start, end in zip(at, np.append(at[1:], batch.num_rows), strict=True):
+            yield batch.slice(int(start), int(end - start))
