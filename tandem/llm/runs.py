@@ -145,6 +145,7 @@ def _found(least: int, periods: int, reorder: Callable[[int | None, int], np.nda
                     for i, s, n in zip(ids, starts.tolist(), counts.tolist(), strict=True)
                 ]
                 words = words.take(pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+                counts = np.array([len(p) for p in parts], np.int64)
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             spelled = coded.dictionary.to_pylist()
@@ -195,7 +196,7 @@ def periodic_runs(
     doc_id, n_words, runs (start, length, period; by start, then period),
     strongest (greatest length by period, or null) and collapsed, the kept words joined by one
     space. ``reorder`` may give, from a row's id and number of words, the numbers
-    of the words to be read in their place. Repeated rows and null ids are taken row by row; an
+    of the words to be read in their place; n_words counts these. Repeated rows and null ids are taken row by row; an
     empty table gives an empty result.
     """
     if least < LEAST or periods < PERIODS:

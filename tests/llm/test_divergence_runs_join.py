@@ -191,7 +191,8 @@ def test_runs_of_reordered_words(spark):
         return np.arange(40) % n if doc_id == 1 else None
 
     got = {r.doc_id: r for r in runs.periodic_runs(docs, reorder=twice).collect()}
-    assert [tuple(r) for r in got[1].runs] == [] and got[2].collapsed == "e f" and got[None].collapsed == "g"
+    assert [tuple(r) for r in got[1].runs] == [(0, 40, 4)] and got[1].n_words == 40 and got[1].collapsed == "a b c d"
+    assert got[2].collapsed == "e f" and got[None].collapsed == "g"
 
 
 def plain_components(rows: list[tuple], percent: int, n: int) -> list[tuple]:
