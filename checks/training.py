@@ -12,7 +12,8 @@ from tandem.functions import arrays
 from tandem.functions.prompts import ChatTags
 from tandem.functions.text import CHAT_TOKEN_PATTERN, chat_tokens
 from tandem.operators import builders, ranking
-from tandem.operators.vocabulary import FIRST_ID, Vocabulary, build_vocabulary
+from tandem.operators.blocks import TokenBlocks
+from tandem.operators.vocabulary import FIRST_ID, block_vocabulary
 
 
 def tokens_sql(text: str) -> str:
@@ -39,7 +40,7 @@ def _documents(spark, d):
 
 @register("vocab_build", sql("select * from doc_vocab", "doc_vocab"))
 def vocab_build(spark, d):
-    return build_vocabulary(_documents(spark, d).select(chat_tokens(F.col("text")).alias("tokens")))
+    return block_vocabulary(TokenBlocks.of(_documents(spark, d), [], {"tokens": chat_tokens(F.col("text"))})).table
 
 
 @register(
@@ -53,8 +54,8 @@ def vocab_build(spark, d):
 def vocab_encode(spark, d):
     documents = _documents(spark, d)
     tokens = chat_tokens(F.col("text"))
-    vocabulary = Vocabulary.of(documents.select(tokens.alias("tokens")))
-    encoded = vocabulary.encode(documents, "doc_id", {"ids": tokens})
+    blocks = TokenBlocks.of(documents, ["doc_id"], {"ids": tokens})
+    encoded = block_vocabulary(blocks).encode_blocks(blocks)
     return encoded.select(
         "doc_id",
         F.size("ids").alias("tokens"),
@@ -210,7 +211,7 @@ _SOURCE = ", array_to_string(any_value(source_padded), ',') as tokenized_input"
 def _set(task, **template):
     def run(spark, d):
         pairs = r.staged(r.clean(spark, d))
-        return builders.build_dataset(pairs, task, builders.pair_vocabulary(pairs, **template), **template)
+        return builders.build_dataset(pairs, task, **template)
 
     return run
 

@@ -13,14 +13,8 @@ from pyspark.sql import functions as F
 from tandem.functions import arrays, prompts
 from tandem.functions import prompt_texts as fixed
 from tandem.functions.text import CHAT_TOKEN_PATTERN, chat_tokens
-from tandem.operators.vocabulary import (
-    PAD_ID,
-    UNKNOWN_ID,
-    Vocabulary,
-    count_tokens,
-    number_tokens,
-    weigh,
-)
+from tandem.operators.blocks import TokenBlocks
+from tandem.operators.vocabulary import PAD_ID, UNKNOWN_ID, Vocabulary, number_tokens
 
 # Token lengths for rewriting and for classification.
 SEQUENCE_LENGTH, CLASSIFIER_LENGTH = 512, 1024
@@ -64,31 +58,51 @@ def _source_tokens() -> Column:
     return chat_tokens(F.col("biased"))
 
 
-def pair_vocabulary(
-    pairs: DataFrame, tags: prompts.ChatTags = prompts.CHATML, thinking_off: bool = True
+def pair_blocks(
+    pairs: DataFrame,
+    keep: Sequence[str] = (),
+    tags: prompts.ChatTags = prompts.CHATML,
+    thinking_off: bool = True,
+    rewrite: bool = False,
+) -> TokenBlocks:
+    """The texts of the pairs, tokenised in one reading; ``rewrite`` adds the bare rewritten text."""
+    parts = {"source": _source_tokens(), "answer": training_template(tags, thinking_off).answer_tokens()}
+    if rewrite:
+        parts["rewrite"] = chat_tokens(F.col("neutral"))
+    return TokenBlocks.of(pairs, [KEY, *keep], parts)
+
+
+def blocks_vocabulary(
+    blocks: TokenBlocks, tags: prompts.ChatTags = prompts.CHATML, thinking_off: bool = True
 ) -> Vocabulary:
     """A vocabulary over what the builders write: chats, prompts and sources.
 
-    Only the texts are tokenised; the fixed wording is counted once and weighed
-    by the number of pairs.
+    Only the dictionaries of the blocks are counted; the fixed wording is counted
+    once and weighed by the number of pairs.
     """
     chat = training_template(tags, thinking_off)
-    weighted = F.concat(weigh(_source_tokens(), 3), weigh(chat.answer_tokens()))
-    counts = count_tokens(pairs.select(weighted.alias("weighted")), "weighted")
-    rows = pairs.count()
+    counts = blocks.counts({"source": 3, "answer": 1})
+    rows = blocks.rows()
     wording = Counter(chat.before + chat.between[:-1] + chat.after) + Counter(
         chat.before + chat.between
     )
-    fixed_counts = pairs.sparkSession.createDataFrame(
+    fixed_counts = blocks.table.sparkSession.createDataFrame(
         [(token, n * rows) for token, n in wording.items()], "token string, n long"
     )
     total = counts.unionByName(fixed_counts).groupBy("token").agg(F.sum("n").alias("n"))
-    return Vocabulary.numbered(number_tokens(total))
+    return Vocabulary(number_tokens(total))
+
+
+def pair_vocabulary(
+    pairs: DataFrame, tags: prompts.ChatTags = prompts.CHATML, thinking_off: bool = True
+) -> Vocabulary:
+    """The vocabulary of pairs that may be encoded later, or of others than are encoded."""
+    return blocks_vocabulary(pair_blocks(pairs, (), tags, thinking_off), tags, thinking_off)
 
 
 def tokenize_pairs(
     pairs: DataFrame,
-    vocabulary: Vocabulary,
+    vocabulary: Vocabulary | None = None,
     source: bool = True,
     keep: Sequence[str] = (),
     length: int = SEQUENCE_LENGTH,
@@ -104,17 +118,18 @@ def tokenize_pairs(
     columns of ``pairs`` to carry along. ``newlines`` are the ids skipped at the
     start of an answer, by default those of one and two line ends. ``tags`` and
     ``thinking_off`` (an empty reasoning block before the answer) shape the whole
-    chat and its prompt, and are the ones the vocabulary was counted with.
+    chat and its prompt, and are the ones the vocabulary was counted with. Without a
+    ``vocabulary`` it is counted from the pairs, in the same reading.
     """
     chat = training_template(tags, thinking_off)
+    blocks = pair_blocks(pairs, keep, tags, thinking_off)
+    vocabulary = vocabulary or blocks_vocabulary(blocks, tags, thinking_off)
     before, between, after, line_ends = vocabulary.constants(
         chat.before, chat.between, chat.after, ("\n\n", "\n")
     )
     if newlines is None:
         newlines = tuple(i for i in line_ends if i != UNKNOWN_ID)
-    ids = vocabulary.encode(
-        pairs, KEY, {"source": _source_tokens(), "answer": chat.answer_tokens()}
-    )
+    ids = vocabulary.encode_blocks(blocks)
     ids = ids.withColumns(
         {
             "full": F.concat(
@@ -137,19 +152,18 @@ def tokenize_pairs(
     )
     if source:
         rows = rows.withColumn("tokenized_input", padded("source"))
-    rows = rows.drop("source", "answer", "full", "prompt")
-    return rows.join(pairs.select(KEY, *keep), KEY) if keep else rows
+    return rows.drop("source", "answer", "full", "prompt")
 
 
-def build_eval(pairs: DataFrame, vocabulary: Vocabulary, **options) -> DataFrame:
+def build_eval(pairs: DataFrame, vocabulary: Vocabulary | None = None, **options) -> DataFrame:
     return tokenize_pairs(pairs, vocabulary, keep=("biased", "neutral"), **options)
 
 
-def build_sft(pairs: DataFrame, vocabulary: Vocabulary, **options) -> DataFrame:
+def build_sft(pairs: DataFrame, vocabulary: Vocabulary | None = None, **options) -> DataFrame:
     return tokenize_pairs(pairs, vocabulary, source=False, **options)
 
 
-def build_distil(pairs: DataFrame, vocabulary: Vocabulary, **options) -> DataFrame:
+def build_distil(pairs: DataFrame, vocabulary: Vocabulary | None = None, **options) -> DataFrame:
     return tokenize_pairs(pairs, vocabulary, keep=("biased",), **options)
 
 
@@ -179,14 +193,13 @@ def label_texts(pairs: DataFrame) -> DataFrame:
 
 
 def build_binary(
-    pairs: DataFrame, vocabulary: Vocabulary, length: int = CLASSIFIER_LENGTH
+    pairs: DataFrame, vocabulary: Vocabulary | None = None, length: int = CLASSIFIER_LENGTH
 ) -> DataFrame:
     """Padded token rows of both texts with ``labels`` 1 (source) and 0 (rewrite)."""
-    parts = {
-        "biased": chat_tokens(F.col("biased")),
-        "neutral": chat_tokens(F.col("neutral")),
-    }
-    ids = label_texts(vocabulary.encode(pairs, KEY, parts))
+    blocks = pair_blocks(pairs, rewrite=True)
+    vocabulary = vocabulary or blocks_vocabulary(blocks)
+    ids = vocabulary.encode_blocks(blocks)
+    ids = label_texts(ids.select(KEY, F.col("source").alias("biased"), F.col("rewrite").alias("neutral")))
     return ids.select(
         KEY,
         arrays.pad_truncate(F.col("text"), length, PAD_ID).alias("input_ids"),

@@ -8,15 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.blocks import TokenBlocks
 from tandem.operators.ordinals import with_ordinals
-from tandem.operators.skew import placed_by, salted_join
 
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
-# The broadcast part of a vocabulary: at most so many tokens of so many characters.
-HEAD_ROWS, HEAD_LENGTH = 200_000, 64
-
-
 def count_tokens(weighted: DataFrame, column: str) -> DataFrame:
     """(token, n): summed weights of an array column of structs (token, weight).
 
@@ -52,25 +48,15 @@ def build_vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     return number_tokens(count_tokens(weighted, "weighted"))
 
 
-def _in_head() -> Column:
-    """Frequent tokens of bounded length: at most ``HEAD_ROWS`` short rows."""
-    return (F.col("token_id") < FIRST_ID + HEAD_ROWS) & (F.length("token") <= HEAD_LENGTH)
-
-
 @dataclass(frozen=True)
 class Vocabulary:
-    """A built vocabulary and the number of its tokens that are not in the head."""
+    """Tokens and their ids."""
 
     table: DataFrame
-    tail_rows: int
 
     @classmethod
-    def of(cls, tokens: DataFrame, column: str = "tokens") -> "Vocabulary":
-        return cls.numbered(build_vocabulary(tokens, column))
-
-    @classmethod
-    def numbered(cls, table: DataFrame) -> "Vocabulary":
-        return cls(table, table.filter(~_in_head()).count())
+    def of(cls, tokens: DataFrame, column: str = "tokens") -> Vocabulary:
+        return cls(build_vocabulary(tokens, column))
 
     def ids_of(self, tokens: Sequence[str]) -> dict[str, int]:
         """Ids of a few named tokens, those that occur."""
@@ -82,46 +68,15 @@ class Vocabulary:
         ids = self.ids_of([token for tokens in lists for token in tokens])
         return [[ids.get(token, UNKNOWN_ID) for token in tokens] for tokens in lists]
 
-    def encode(self, df: DataFrame, key: str, parts: Mapping[str, Column]) -> DataFrame:
-        """``key`` and one id array per part, each a token array of ``df``.
-
-        The most frequent tokens are broadcast, a bounded number of bounded
-        length; rows of the others, if any, are joined by a shuffle. A text's ids return
-        to one array, which is as long as the text was.
-        """
-        names = list(parts)
-
-        def tagged(part: int) -> Column:
-            return F.transform(
-                parts[names[part]],
-                lambda token, pos: F.struct(
-                    F.lit(part).alias("part"), pos.alias("pos"), token.alias("token")
-                ),
-            )
-
-        tokens = F.concat(*(tagged(part) for part in range(len(names))))
-        # Texts move once, by key; tokens of the head stay where they are made.
-        rows = placed_by(df, key).select(key, F.explode_outer(tokens).alias("t"))
-        rows = rows.select(key, "t.part", "t.pos", "t.token")
-        ids = self.table.select("token", "token_id")
-        found = rows.join(F.broadcast(ids.filter(_in_head())), "token", "left")
-        if self.tail_rows:
-            open_ = F.col("token_id").isNull() & F.col("token").isNotNull()
-            rest = found.filter(open_).drop("token_id")
-            tail = ids.filter(~_in_head())
-            looked_up = salted_join(rest, tail, ["token"], spread_by=[key, "part", "pos"])
-            found = found.filter(~open_).unionByName(looked_up)
-        item = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
-        collected = found.groupBy(key).agg(
-            *(
-                F.collect_list(F.when(F.col("part") == at, item)).alias(name)
-                for at, name in enumerate(names)
-            )
-        )
-        return collected.select(
-            key,
-            *(
-                F.transform(F.array_sort(name), lambda t: t["id"].cast("int")).alias(name)
-                for name in names
-            ),
-        )
+    def encode_blocks(self, blocks: TokenBlocks) -> DataFrame:
+        """The rows of ``blocks`` with an id array per part."""
+        return blocks.encoded(self.table, UNKNOWN_ID)
+
+    def encode(self, df: DataFrame, keep: str | Sequence[str], parts: Mapping[str, Column]) -> DataFrame:
+        """The columns of ``keep`` and one id array per part, each a token array of ``df``."""
+        return self.encode_blocks(TokenBlocks.of(df, [keep] if isinstance(keep, str) else keep, parts))
+
+
+def block_vocabulary(blocks: TokenBlocks) -> Vocabulary:
+    """The vocabulary of the rows of ``blocks``, counted from their dictionaries."""
+    return Vocabulary(number_tokens(blocks.counts()))

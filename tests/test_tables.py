@@ -1,17 +1,19 @@
 """Scans, sinks, ordinals, splits, skewed joins, vocabularies."""
 
 import os
+import re
 from collections import Counter
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tandem.operators import skew, vocabulary
+from tandem.operators import skew
+from tandem.operators.blocks import TokenBlocks
 from tandem.operators.builders import BUILDERS, build_dataset, pair_vocabulary
 from tandem.operators.ordinals import with_file_ordinals, with_ordinals
 from tandem.operators.splits import assign_batches, split_overlap, split_pairs, take_split
-from tandem.operators.vocabulary import Vocabulary
+from tandem.operators.vocabulary import Vocabulary, block_vocabulary
 from tandem.sources import corpus, logs
 
 
@@ -185,12 +187,11 @@ def test_lookup_join_beyond_broadcast(spark, monkeypatch):
 TEXTS = [(1, ["b", "a", "b"]), (2, ["c", "b"]), (3, []), (4, ["x" * 100, "a"])]
 
 
-def test_vocabulary(spark, monkeypatch):
+def test_vocabulary(spark):
     texts = spark.createDataFrame(TEXTS, "id long, tokens array<string>")
     vocab = Vocabulary.of(texts)
     ids = {r.token: (r.n, r.token_id) for r in vocab.table.collect()}
     assert ids == {"b": (3, 2), "a": (2, 3), "c": (1, 4), "x" * 100: (1, 5)}
-    assert vocab.tail_rows == 1  # too long to be broadcast
 
     def encoded(v):
         return {r.id: (r.t, r.u) for r in v.encode(
@@ -198,8 +199,6 @@ def test_vocabulary(spark, monkeypatch):
 
     wanted = {1: ([2, 3, 2], [2]), 2: ([4, 2], [4]), 3: ([], []), 4: ([5, 3], [5])}
     assert encoded(vocab) == wanted
-    monkeypatch.setattr(vocabulary, "HEAD_ROWS", 1)
-    assert encoded(Vocabulary.of(texts)) == wanted
     assert vocab.ids_of(["a", "zz"]) == {"a": 3}
 
 
@@ -209,6 +208,47 @@ def test_unknown_tokens(spark):
     assert vocab.encode(other, "id", {"t": F.col("t")}).first().t == [2, 1]
 
 
+@pytest.mark.parametrize("block_tokens", [1, 3, 1 << 20])
+def test_token_blocks(spark, block_tokens):
+    """Blocks of any size, rows without tokens, repeated keys and tokens that are null or unknown."""
+    rows = [*TEXTS, (5, None), (1, ["c"]), (6, ["a", None, "b"]), (None, ["b"])]
+    texts = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    parts = {"t": F.col("tokens"), "u": F.slice("tokens", 2, 2)}
+    blocks = TokenBlocks.of(texts.withColumn("note", F.lit("n")), ["id", "note"], parts, block_tokens)
+    assert blocks.rows() == len(rows)
+    want, want_u = Counter(), Counter()
+    for _, own in rows:
+        want.update(t for t in own or [] if t)
+        want_u.update(t for t in (own or [])[1:3] if t)
+    assert {r.token: r.n for r in blocks.counts({"t": 1}).collect()} == want
+    assert {r.token: r.n for r in blocks.counts({"u": 2}).collect()} == {t: 2 * n for t, n in want_u.items()}
+    vocab = block_vocabulary(TokenBlocks.of(texts.where("id < 3"), [], {"t": F.col("tokens")}))
+    ids = {r.token: r.token_id for r in vocab.table.collect()}
+    got = sorted((r.id or 0, r.note, r.t, r.u) for r in vocab.encode_blocks(blocks).collect())
+    assert got == sorted(
+        (i or 0, "n", [ids.get(t, 1) for t in own or []], [ids.get(t, 1) for t in (own or [])[1:3]]) for i, own in rows
+    )
+    none = TokenBlocks.of(texts.where("id > 99"), ["id"], {"t": F.col("tokens")})
+    assert vocab.encode_blocks(none).count() == 0 and none.rows() == 0
+
+
+def test_encoding_leaves_rows_in_place(spark):
+    """The written rows are joined as they lie, also where nothing may be broadcast."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(i, [f"t{i % 7}", f"t{i % 50}"]) for i in range(300)], "id long, tokens array<string>")
+        blocks = TokenBlocks.of(texts.repartition(5), ["id"], {"t": F.col("tokens")}, 40)
+        encoded = block_vocabulary(blocks).encode_blocks(blocks)
+        assert encoded.count() == 300
+        plan = encoded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    (scan,) = re.findall(r".*\n.*FileScan.*_rows.*", plan.split("== Initial Plan ==")[0])
+    above, below = scan.split("\n")
+    assert "Join" in above and "Bucketed: true" in below
+
+
 def test_builders(spark):
     pairs = spark.createDataFrame(
         [(1, "One bias.", "\n\nOne."), (2, "Two", "Two two")], "sample_id long, biased string, neutral string"
