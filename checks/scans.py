@@ -316,20 +316,20 @@ def ranked_rows(spark, d):
 @register(
     "metrics_long",
     sql(
-        f"""WITH m as (select avg(n_chars) as mean_chars, count(*)::DOUBLE as documents_seen, lang
-              from documents group by lang)
-            select 'eval_' || lang as run, 'param' as kind, 'base_model_name' as key,
-              null::DOUBLE as number, 'base' as text from m
-            union all select 'eval_' || lang, 'tag', 'task', null, 'evaluation' from m
-            union all select 'eval_' || lang, 'metric', 'mean_chars', {r6("mean_chars")}, null from m
-            union all select 'eval_' || lang, 'metric', 'documents_seen', {r6("documents_seen")}, null from m"""
+        f"""WITH m as (select avg(n_chars) as mean_chars, count(*)::DOUBLE as documents_seen, lang, doc_id % 3 as epoch
+              from documents group by lang, epoch), l as (select distinct lang from documents)
+            select 'eval_' || lang as run, 'param' as kind, 'base_model_name' as key, null::BIGINT as step,
+              null::DOUBLE as number, 'base' as text from l
+            union all select 'eval_' || lang, 'tag', 'task', null, null, 'evaluation' from l
+            union all select 'eval_' || lang, 'metric', 'mean_chars', epoch, {r6("mean_chars")}, null from m
+            union all select 'eval_' || lang, 'metric', 'documents_seen', epoch, {r6("documents_seen")}, null from m"""
     ),
 )
 def run_log(spark, d):
     path = new_path(spark, "runs")
     measured = (
         r.table(spark, d, "documents")
-        .groupBy("lang")
+        .groupBy("lang", (F.col("doc_id") % 3).alias("epoch"))
         .agg(F.avg("n_chars").alias("mean_chars"), F.count(F.lit(1)).alias("documents_seen"))
     )
     rows = logs.metrics_long(
@@ -338,6 +338,7 @@ def run_log(spark, d):
         {"base_model_name": "base"},
         {"task": "evaluation"},
         metrics=["mean_chars", "documents_seen"],
+        step=F.col("epoch"),
     )
     logs.append_run_log(rows, path)
     return spark.read.schema(rows.schema).parquet(path)

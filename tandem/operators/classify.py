@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -18,12 +20,12 @@ def accuracy(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg((F.col("label") == F.col("pred")).cast("int")).alias("accuracy"))
 
 
-def class_counts(scored: DataFrame) -> DataFrame:
-    """Per class: true positives, predicted and actual rows.
+def class_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per class (of each group of ``by``): true positives, predicted and actual rows.
 
     Rows are first counted per (label, pred); only that small table is unfolded.
     """
-    confusion = scored.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("rows"))
+    confusion = scored.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("rows"))
 
     def seen(column: str, actual: bool) -> Column:
         hit = F.col("label") == F.col("pred")
@@ -34,18 +36,26 @@ def class_counts(scored: DataFrame) -> DataFrame:
             F.when(F.lit(actual), F.col("rows")).otherwise(F.lit(0)).alias("support"),
         )
 
-    unfolded = confusion.select(F.inline(F.array(seen("label", True), seen("pred", False))))
-    return unfolded.groupBy("class").agg(
+    unfolded = confusion.select(*by, F.inline(F.array(seen("label", True), seen("pred", False))))
+    return unfolded.groupBy(*by, "class").agg(
         *(F.sum(name).alias(name) for name in ("tp", "predicted", "support"))
     )
 
 
+def _weighted_f1() -> Column:
+    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("predicted") + F.col("support")))
+    return F.sum(F.coalesce(f1, F.lit(0.0)) * F.col("support")) / F.sum("support")
+
+
 def weighted_f1(scored: DataFrame) -> DataFrame:
     """F1 per class, averaged by the class's share of the labels."""
-    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("predicted") + F.col("support")))
-    return class_counts(scored).agg(
-        (F.sum(F.coalesce(f1, F.lit(0.0)) * F.col("support")) / F.sum("support")).alias("f1")
-    )
+    return class_counts(scored).agg(_weighted_f1().alias("f1"))
+
+
+def scores_by(scored: DataFrame, by: str) -> DataFrame:
+    """(by, val_accuracy, val_f1): accuracy and weighted F1 of each group, as of each epoch, in one reading."""
+    correct = (F.sum("tp") / F.sum("support")).alias("val_accuracy")
+    return class_counts(scored, [by]).groupBy(by).agg(correct, _weighted_f1().alias("val_f1"))
 
 
 def loss_summary(steps: DataFrame, every: int = LOG_EVERY) -> DataFrame:

@@ -172,13 +172,13 @@ def sample_responses(
     return collect_samples(answered.withColumn("response", clean(F.col("response"))), key)
 
 
-def batch_predict(
+def predicted_rows(
     df: DataFrame,
     predict: Callable[[list[str]], list[str]],
     text: str = "biased",
     size: int = PREDICT_BATCH,
 ) -> DataFrame:
-    """Add ``predicted``: texts go to ``predict`` in lists of ``size``."""
+    """Add ``predicted``: texts go to ``predict`` in lists of ``size``; to be written before it is read."""
     schema = T.StructType([*df.schema.fields, T.StructField("predicted", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,4 +189,14 @@ def batch_predict(
                 found += predict(texts[at : at + size])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
 
-    return stage(df.mapInArrow(run, schema), "predictions")
+    return df.mapInArrow(run, schema)
+
+
+def batch_predict(
+    df: DataFrame,
+    predict: Callable[[list[str]], list[str]],
+    text: str = "biased",
+    size: int = PREDICT_BATCH,
+) -> DataFrame:
+    """``predicted_rows``, written once."""
+    return stage(predicted_rows(df, predict, text, size), "predictions")

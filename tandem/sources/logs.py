@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,34 +131,58 @@ def metrics_long(
     params: Mapping[str, str],
     tags: Mapping[str, str],
     metrics: Sequence[str],
+    step: Column | None = None,
 ) -> DataFrame:
-    """Metric columns and run settings as rows (run, kind, key, number, text).
+    """Metric columns and run settings as rows (run, kind, key, step, number, text).
 
-    ``rows`` holds one row per run, ``run`` names it. Numbers are kept in
-    ``number``, settings in ``text``.
+    ``rows`` holds one row per run, or per run and ``step`` (an epoch, a training
+    step). Numbers are kept in ``number``, settings in ``text``; settings have no
+    step and are given once per run.
     """
     none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    no_step = F.lit(None).cast("bigint")
+    at = no_step if step is None else step.cast("bigint")
 
-    def entry(kind: str, key: str, number: Column, text: Column) -> Column:
+    def entry(kind: str, key: str, at: Column, number: Column, text: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             F.lit(key).alias("key"),
+            at.alias("step"),
             number.alias("number"),
             text.alias("text"),
         )
 
-    entries = [
-        *(entry("param", k, none_number, F.lit(v)) for k, v in params.items()),
-        *(entry("tag", k, none_number, F.lit(v)) for k, v in tags.items()),
-        *(entry("metric", k, F.col(k).cast("double"), none_text) for k in metrics),
+    settings = [
+        *(entry("param", k, no_step, none_number, F.lit(v)) for k, v in params.items()),
+        *(entry("tag", k, no_step, none_number, F.lit(v)) for k, v in tags.items()),
     ]
-    return rows.select(run.alias("run"), F.inline(F.array(*entries)))
+    measured = rows.select(
+        run.alias("run"),
+        F.inline(F.array(*(entry("metric", k, at, F.col(k).cast("double"), none_text) for k in metrics))),
+    )
+    if not settings:
+        return measured
+    runs = rows.select(run.alias("run"))
+    if step is not None:
+        runs = runs.distinct()
+    return runs.select("run", F.inline(F.array(*settings))).unionByName(measured)
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run").parquet(path)
 
 
+def write_run(rows: DataFrame, path: str, run: str) -> None:
+    """The rows of one run, in place of what the log at ``path`` holds of it."""
+    folder = f"{path}/run={quote(run, safe='')}"
+    rows.drop("run").coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def slug(name: str) -> str:
+    """``path_slug`` of a known name."""
+    return name.translate(str.maketrans("/ ", "__", "."))
+
+
 def iso_now() -> Column:
     """The time of the job as an ISO-8601 string."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
