@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.token_ids import word_encoder
-from tandem.llm.words import slices, text_bytes
+from tandem.llm.words import pieces
 from tandem.session import stage
 
 CAPACITY = 4096
 #: Rests of at most this part of the capacity, and classes that leave at most this part unused, are not cut.
 SMALL, WASTE = 1 / 32, 0.02
+#: Bytes of text encoded at once.
+_PIECE = 8 << 20
 #: Workers whose incomplete sequences are cut anew together.
 WORKERS_A_GROUP = 8
 
@@ -67,7 +69,7 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool):
         encoder = word_encoder(path)
         worker = TaskContext.get().partitionId()
         open_: dict[int, list] = {}
-        sequences = pieces = 0
+        sequences = order = 0
 
         def table(rows: list) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -75,16 +77,16 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool):
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-        for batch in slices(batches):
+        for batch in pieces(batches, most=_PIECE):
             rows: list = []
-            ids_of = encoder.encode(text_bytes(batch))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for start, length, fits in cuts(len(ids), capacity):
-                    own = ids[start : start + length].tobytes()
-                    pieces += 1
+            ids, sizes = encoder.encode_all(batch.column(1), end_id)
+            data, first = memoryview(ids.astype("<u4").tobytes()), 0
+            for doc_id, total in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                for start, length, fits in cuts(total, capacity):
+                    own = bytes(data[4 * (first + start) : 4 * (first + start + length)])
+                    order += 1
                     waiting = open_.setdefault(fits, [])
-                    waiting.append((doc_id, start, length, own, len(ids), pieces))
+                    waiting.append((doc_id, start, length, own, total, order))
                     if len(waiting) == fits:
                         offset = 0
                         for d, s, n, b, total, _ in waiting:
@@ -95,12 +97,13 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool):
                             offset += n
                         sequences += 1
                         del open_[fits]
+                first += total
             if rows:
                 yield table(rows)
         left = sorted((p for waiting in open_.values() for p in waiting), key=lambda p: p[5])
         for at in range(0, len(left), 2000):
             yield table(
-                [(d, s, n, None, total, None, None, b, worker, order) for d, s, n, b, total, order in left[at : at + 2000]]
+                [(d, s, n, None, total, None, None, b, worker, at_) for d, s, n, b, total, at_ in left[at : at + 2000]]
             )
 
     return run

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.token_ids import word_encoder
-from tandem.llm.words import slices, text_bytes
+from tandem.llm.words import pieces
 from tandem.session import new_path, stage
 
 LENGTH, END_ID = 2048, 2
 #: Sequences of a shard: 16 MiB of 16-bit ids.
 SHARD = 4096
+#: Bytes of text encoded at once.
+_PIECE = 8 << 20
 KEY, ROUNDS = 20240607, 4
 
 
@@ -57,6 +59,8 @@ def slots(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS)
 def _cut(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, worker, squeeze = word_encoder(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(3)
+        if max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         held, first, at = np.empty(0, "<u2"), None, 0
 
         def table(rows: list) -> pa.RecordBatch:
@@ -71,13 +75,11 @@ def _cut(path: str, length: int, end_id: int):
             full = np.concatenate((ids, np.full(length - len(ids), end_id, "<u2"))).tobytes()
             return (worker, at, first, len(ids), zlib.crc32(full), squeeze.compress(full))
 
-        end = np.array([end_id], "<u4")
-        for batch in slices(batches):
-            ids = encoder.encode(text_bytes(batch))
+        for batch in pieces(batches, most=_PIECE):
+            ids, sizes = encoder.encode_all(batch.column(1), end_id)
             docs = [first, *batch.column(0).to_pylist()]
-            sizes = np.array([len(held), *(len(own) + 1 for own in ids)])
-            stops = np.cumsum(sizes)
-            joined = np.concatenate([held, *(part for own in ids for part in (own, end))]).astype("<u2")
+            stops = np.cumsum(np.append(len(held), sizes))
+            joined = np.concatenate((held, ids.astype("<u2")))
             rows = []
             for k in range(len(joined) // length):
                 first = docs[int(np.searchsorted(stops, k * length, "right"))]
@@ -143,7 +145,7 @@ def materialise(
 
     Reads ``doc_id`` and ``text``, ignores other columns. A text's ids end with
     ``end_id``; null and empty texts are that id alone. Ids of a vocabulary under
-    65,536 entries are kept as 16-bit little-endian numbers; the last sequence of a worker
+    65,536 entries are kept as 16-bit little-endian numbers, and a larger one is refused; the last sequence of a worker
     is filled with ``end_id``. The manifest has one row per sequence: slot,
     shard, byte_offset, first_doc_id, n_tokens, ids_crc32. Slots run from 0
     without a gap. Repeated rows are written each; a null id stays null; an empty table
