@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tandem.operators.skew import salted_join
 from tandem.session import stage
-from tandem.sources.logs import scan_table
+from tandem.sources.keyed_log import KeyedLog, key_hash
 
 # Calls in flight, sampling temperatures, prediction batch,
 # characters of text shown in an error.
@@ -76,17 +75,38 @@ def call_rows(
 
 
 def latest_by_key(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of each key; rows combine before they are moved."""
-    rest = [name for name in log.columns if name not in keys]
-    last = F.max_by(F.struct(*rest), F.col(order)).alias("_last")
-    return log.groupBy(*keys).agg(last).select(*keys, "_last.*")
+    """The last row of each key; which one of equal last rows, is left open.
 
+    Only hashes and orders are grouped; the rows find theirs in a hash join, unsorted.
+    """
+    hashed = log.withColumn("_hash", key_hash(*keys))
+    last = hashed.groupBy("_hash").agg(F.max(order).alias("_last"))
+    found = hashed.join(last.hint("shuffle_hash"), "_hash").where(F.col(order) >= F.col("_last"))
+    return found.dropDuplicates(["_hash"]).select(*keys, *(c for c in log.columns if c not in (*keys, order)))
+
+
+def not_logged(source: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """Source rows whose key is not in the log; equal source rows all stay.
+
+    Keys are compared by their 128-bit hashes. A frequent key is a single row
+    of the log's side, and the rows of the other are split by adaptive execution.
+    """
+    held = log.select(key_hash(key).alias("_hash")).distinct()
+    return source.withColumn("_hash", key_hash(key)).join(held, "_hash", "left_anti").drop("_hash")
+
+
+def pending_commits(source: DataFrame, log: DataFrame, key: str, commits: int) -> DataFrame:
+    """The unlogged rows with the number of their commit, ``_commit``, found and written once."""
+    pending = not_logged(source, log, key)
+    return stage(pending.withColumn("_commit", F.pmod(F.xxhash64(key), F.lit(commits))), "pending")
 
-def not_logged(
-    source: DataFrame, log: DataFrame, key: str, spread_by: Sequence[str] | None = None
+
+def answered_rows(
+    pending: DataFrame, call: Call, result: str, spread_by: Sequence[str], max_concurrent: int = MAX_CONCURRENT
 ) -> DataFrame:
-    """Source rows whose key is not in the log; equal source rows all stay."""
-    return salted_join(source, log.select(key).distinct(), [key], "left_anti", spread_by=spread_by)
+    """Results of rows. Failures are left out, so a later run retries them."""
+    answered = call_rows(pending, call, result, spread_by, max_concurrent)
+    return stage(answered.filter("ok").drop("ok", "error"), "resume")
 
 
 def resume(
@@ -99,9 +119,7 @@ def resume(
     max_concurrent: int = MAX_CONCURRENT,
 ) -> DataFrame:
     """Results for unlogged rows. Failures are left out, so a later run retries them."""
-    pending = not_logged(source, log, key, spread_by)
-    answered = call_rows(pending, call, result, spread_by, max_concurrent)
-    return stage(answered.filter("ok").drop("ok", "error"), "resume")
+    return answered_rows(not_logged(source, log, key), call, result, spread_by, max_concurrent)
 
 
 def cached_enrich(
@@ -110,32 +128,31 @@ def cached_enrich(
     log_path: str,
     call: Call,
     result: str,
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] = (),
     max_concurrent: int = MAX_CONCURRENT,
     commits: int = 1,
     asked_with: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``source`` with result fields, calling only for keys the log lacks.
 
-    Each missing key is called once and appended to the Parquet log at
+    Each missing key is called once and appended to the keyed log at
     ``log_path``; failed keys are not logged and come back as nulls. The missing
-    keys are cut by hash into ``commits`` parts, each appended when done. The call
+    keys are found in one reading of the source and of the buckets it touches, and written with the
+    number of their commit; each commit is appended when done. The call
     sees the key and the columns of ``asked_with``, which are made from it.
     """
-    spark = source.sparkSession
-    key_type = source.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, {result}, revision bigint"
-    revision = F.unix_micros(F.current_timestamp()).alias("revision")
+    log = KeyedLog(source.sparkSession, log_path, key, source.schema[key].dataType.simpleString(), result)
+    keys = log.hashed(source.select(key).where(F.col(key).isNotNull())).dropDuplicates(["_hash"])
+    part = F.pmod(F.xxhash64("_hash"), F.lit(commits))
+    keys = stage(keys, "keys")
+    touched = log.touched(keys)
+    pending = stage(log.missing(keys, touched).withColumn("_commit", part), "pending")
+    fields = T.StructType.fromDDL(result).names
     for at in range(commits):
-        wanted = source.select(key).filter(F.pmod(F.xxhash64(key), F.lit(commits)) == at)
-        logged = scan_table(spark, log_path, schema).select(key).distinct()
-        missing = wanted.distinct().join(logged, key, "left_anti")
-        asked = missing.withColumns(asked_with or {})
-        answered = call_rows(asked, call, result, [key], max_concurrent)
-        fields = T.StructType.fromDDL(result).names
-        answered.filter("ok").select(key, *fields, revision).write.mode("append").parquet(log_path)
-    cache = latest_by_key(scan_table(spark, log_path, schema), [key], "revision").drop("revision")
-    return salted_join(source, cache, [key], "left", spread_by=spread_by)
+        asked = pending.where(F.col("_commit") == at).select(key).withColumns(asked_with or {})
+        log.append(answered_rows(asked, call, result, [key], max_concurrent).select(key, *fields))
+    cache = log.latest(touched).select("_hash", *fields)
+    return log.hashed(source).join(cache, "_hash", "left").drop("_hash")
 
 
 def fan_out(df: DataFrame, temperatures: Sequence[float] = TEMPERATURES) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_JOB: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def build_session(app: str = "tandem", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC time and Arrow transfer on."""
@@ -28,21 +32,56 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` is read from the session. Only a local master may
-    run without it; there a temporary folder is made once and remembered.
+    run without it; there a folder in the warehouse is used and remembered.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tandem-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches; none there is no fault."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reaches."""
+    place, store = _place(spark, path)
+    return [found.getPath().getName() for found in store.listStatus(place)] if store.exists(place) else []
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, every table staged inside; write or collect what is wanted before."""
+    paths: list[str] = []
+    token = _JOB.set(paths)
+    try:
+        yield
+    finally:
+        _JOB.reset(token)
+        for path in paths:
+            remove(spark, path)
+            if (name := path.rpartition("/")[2]).startswith("token_blocks_"):
+                spark.sql(f"DROP TABLE IF EXISTS {name.rpartition('-')[0]}")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no one else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no one else uses; it goes with the job it is made in."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _JOB.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -10,10 +10,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tandem.operators.enrich import MAX_CONCURRENT, Call, call_rows, latest_by_key
-from tandem.sources.logs import scan_table
+from tandem.operators.enrich import MAX_CONCURRENT, Call, answered_rows, latest_by_key
+from tandem.session import stage
+from tandem.sources.keyed_log import KeyedLog
 
 SALTS = 16
 
@@ -126,21 +128,22 @@ def enrich_stream(
     checkpoint: str,
     max_concurrent: int = MAX_CONCURRENT,
 ) -> StreamingQuery:
-    """Call once for each new key of the stream and add the answers to the log.
+    """Call once for each new key of the stream and add the answers to the keyed log.
 
-    A replayed batch ignores its own folder and writes it again; failed keys are
-    not logged, and are asked again when they next appear.
+    A batch reads the buckets it touches and is one commit; a batch that is
+    replayed after its commit does nothing. Failed keys are not logged, and are
+    asked again when they next appear.
     """
     key_type = rows.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, {result}, batch_id bigint"
-    write = _folder_per_batch(log_path)
+    fields = T.StructType.fromDDL(result).names
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        log = scan_table(batch.sparkSession, log_path, schema)
-        earlier = log.filter(F.col("batch_id") != batch_id)
-        pending = batch.select(key).distinct().join(earlier.select(key), key, "left_anti")
-        answered = call_rows(pending, call, result, [key], max_concurrent)
-        write(answered.filter("ok").drop("ok", "error"), batch_id)
+        log = KeyedLog(batch.sparkSession, log_path, key, key_type, result)
+        if log.holds_batch(batch_id):
+            return
+        keys = stage(log.hashed(batch.select(key).where(F.col(key).isNotNull())).dropDuplicates(["_hash"]), "keys")
+        answered = answered_rows(log.missing(keys).select(key), call, result, [key], max_concurrent)
+        log.append(answered.select(key, *fields), batch_id)
 
     return (
         rows.writeStream.foreachBatch(step)
@@ -152,5 +155,5 @@ def enrich_stream(
 
 def read_enriched(spark: SparkSession, log_path: str, key_type: str, key: str, result: str) -> DataFrame:
     """Answers logged by ``enrich_stream``, the latest per key."""
-    schema = f"`{key}` {key_type}, {result}, batch_id bigint"
-    return latest_by_key(scan_table(spark, log_path, schema), [key], "batch_id").drop("batch_id")
+    fields = T.StructType.fromDDL(result).names
+    return KeyedLog(spark, log_path, key, key_type, result).latest().select(key, *fields)
