@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.tables import bounded_join
+from tandem.llm.tables import bounded_join, unused
 from tandem.llm.words import SPACE_RUN, text_or_empty
 from tandem.session import stage
 
@@ -115,19 +115,20 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows that repeat id and text, one."""
+    """The rows of ``docs`` that stay, with all their own columns; of rows that repeat id and text, one."""
     found = stage(exact_duplicates(docs), "exact")
     key = ["doc_id", "text_sha256"]
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id")) & (
-        F.sha2(normalised("text").cast("binary"), 256) == F.col("_gone_sha")
+    mine = unused(docs, "_gone_id", "_gone_sha")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(mine[0])) & (
+        F.sha2(normalised("text").cast("binary"), 256) == F.col(mine[1])
     )
 
     def names(rows: DataFrame) -> DataFrame:
-        return rows.select(*key).distinct().toDF("_gone_id", "_gone_sha")
+        return rows.select(*key).distinct().toDF(*mine)
 
     left = bounded_join(docs, names(found.where("NOT kept")), same, "left_anti")
     twice = stage(names(found.where("kept").groupBy(*key).count().where("count > 1")), "exact-twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, same).dropDuplicates(["_gone_id", "_gone_sha"]).select(*docs.columns)
+    once = left.join(twice, same).dropDuplicates(mine).select(*docs.columns)
     return left.join(twice, same, "left_anti").unionByName(once)

@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.components import components
-from tandem.llm.tables import bounded_join
+from tandem.llm.tables import bounded_join, unused
 from tandem.llm.words import WordHashes, slices, text_bytes
+from tandem.operators.ordinals import with_ordinals
 from tandem.session import stage
 
 WORDS, PERCENT = 5, 85
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = buckets.where("doc_id <> hub").selectExpr("_band", "hub AS a", "doc_id AS b")
     # a few bands first: what they join need not be compared again in the others
     likely = stage(likely_pairs(stars.where(F.col("_band") < FIRST_BANDS).select("a", "b").distinct(), signed, percent), "likely")
-    links = stage(exact_links(docs, likely, percent), "exact-links")
+    links = stage(exact_links(docs, likely, percent).unionByName(_ties(described, classes)), "exact-links")
     labels = components(links)
     of_a, of_b = (labels.toDF(x, f"_label_{x}") for x in "ab")
     apart = (
@@ -381,7 +382,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
 
-    # rows of one id but different texts tie their classes together
     ids = described.select("doc_id", "n_shingles", "set_name")
     named = F.when(F.col("doc_id").isNotNull(), F.col("set_name"))
     tied = ids.withColumn("set_name", named).join(
@@ -396,7 +396,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _ties(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id but not their text."""
+    named = described.where("set_name IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_name")
+    twice = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    of_id = named.join(twice, "doc_id").join(classes.select("set_name", F.col("doc_id").alias("_class")), "set_name")
+    return of_id.where("_class <> doc_id").selectExpr("_class AS a", "doc_id AS b").distinct()
+
+
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with their own columns."""
-    gone = stage(near_duplicates(docs, percent).where("NOT kept").selectExpr("doc_id AS _gone_id").distinct(), "near")
-    return bounded_join(docs, gone, F.col("doc_id").cast("bigint") == F.col("_gone_id"), "left_anti")
+    """The rows of ``docs`` that stay, one document of each component, with all their own columns.
+
+    Rows that share an id but not their text are documents of their own here:
+    each goes only if its own text is linked with a kept one.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    twice = stage(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "near-twice")
+    if twice.isEmpty():
+        (mine,) = unused(docs, "_gone_id")
+        gone = stage(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct().toDF(mine), "near")
+        return bounded_join(docs, gone, F.col("doc_id").cast("bigint") == F.col(mine), "left_anti")
+    name = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    each = rows.where("doc_id IS NOT NULL").select("doc_id", name.alias("_name")).distinct()
+    numbered = stage(with_ordinals(each, ["doc_id", "_name"], "_number"), "near-numbers")
+    own = rows.withColumn("_name", name).join(numbered, ["doc_id", "_name"])
+    found = near_duplicates(own.select(F.col("_number").alias("doc_id"), "text"), percent)
+    mine = unused(docs, "_gone_id", "_gone_name")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_number")).distinct().join(numbered, "_number").select("doc_id", "_name")
+    gone = stage(gone.toDF(*mine), "near")
+    return bounded_join(docs, gone, (F.col("doc_id").cast("bigint") == F.col(mine[0])) & (name == F.col(mine[1])), "left_anti")

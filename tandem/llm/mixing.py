@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.tables import bounded_join
+from tandem.llm.tables import bounded_join, unused
 from tandem.llm.words import WORD, text_or_empty
 from tandem.session import stage
 
@@ -108,15 +108,12 @@ def min_cost_flow(
 
 
 def mixed_documents(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the staged result of ``mix`` takes them, with their own columns."""
-    taken = chosen.where("copies > 0").selectExpr(
-        "doc_id AS _mix_id", "text_hash AS _mix_hash", "copies AS _mix_copies"
-    ).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")) & (
-        F.xxhash64(text_or_empty("text")) == F.col("_mix_hash")
-    )
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
-    return bounded_join(docs, taken, same, "inner").select(*docs.columns, copies.alias("_mix_copy")).drop("_mix_copy")
+    """The rows of ``docs`` as often as the staged result of ``mix`` takes them, with all their own columns."""
+    id_, hash_, copies, copy = unused(docs, "_mix_id", "_mix_hash", "_mix_copies", "_mix_copy")
+    taken = chosen.where("copies > 0").select("doc_id", "text_hash", "copies").distinct().toDF(id_, hash_, copies)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty("text")) == F.col(hash_))
+    listed = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return bounded_join(docs, taken, same, "inner").select(*docs.columns, listed.alias(copy)).drop(copy)
 
 
 def seeded(seed: int) -> Column:

@@ -15,3 +15,15 @@ def bounded_join(
     """Join a staged, slim ``right`` side: broadcast if it has at most ``most`` rows, else shuffled."""
     few = right.limit(most + 1).count() <= most
     return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

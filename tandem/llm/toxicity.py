@@ -2,7 +2,8 @@
 
 A text's features are its distinct hashed character n-grams. Over every labelled
 training row, the share of toxic and of clean texts holding a feature gives its
-log-count ratio. The features whose ratio is furthest from chance are kept, and a
+log-count ratio. The features whose ratio is further from chance than LEAST_Z
+standard errors are kept, all of them, and a
 logistic regression is fitted to them, scaled by their ratios, on a bounded
 sample of the labelled rows. Ratio times coefficient is one weight per feature,
 and scoring is a sum.
@@ -28,8 +29,8 @@ from tandem.session import stage
 BITS = 22
 GRAMS = (3, 4, 5)
 SMOOTH = 1.0
-#: Features that stay in the model, and the least standard errors between their ratio and 0.
-KEPT, LEAST_Z = 20_000, 3.0
+#: The least standard errors between the ratio of a feature of the model and 0.
+LEAST_Z = 3.0
 #: Labelled rows, at most about so many, on which the regression is fitted.
 FIT_ROWS = 20_000
 PENALTY, ROUNDS = 0.001, 60
@@ -81,8 +82,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_count_ratios(labelled: DataFrame) -> tuple[pd.DataFrame, int, int]:
     """((feature, ratio) of the kept features, clean rows, toxic rows) over all of ``labelled`` (text, toxic).
 
-    A worker sends one row per feature it met; only the kept features, at most
-    KEPT, come to the driver.
+    A worker sends one row per feature it met; the kept features come to the
+    driver, at most one per hash (2^BITS), whatever the number of rows.
     """
     sums = stage(
         labelled.select("text", "toxic")
@@ -100,8 +101,6 @@ def log_count_ratios(labelled: DataFrame) -> tuple[pd.DataFrame, int, int]:
         sums.where("feature >= 0")
         .select("feature", ratio.alias("ratio"), F.abs(ratio / error).alias("z"))
         .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "feature")
-        .limit(KEPT)
         .toPandas()
     )
     return kept.sort_values("feature")[["feature", "ratio"]].reset_index(drop=True), n_clean, n_toxic
@@ -118,7 +117,7 @@ class Model:
 
 def _places(features: np.ndarray) -> np.ndarray:
     """For each hash the place of its feature, counted from 1, or 0."""
-    out = np.zeros(1 << BITS, np.uint16)
+    out = np.zeros(1 << BITS, np.uint32)
     out[features] = np.arange(1, len(features) + 1)
     return out
 
