@@ -17,7 +17,7 @@ from tandem.session import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 by a classifier learnt from the labels that are not held out."""
     score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_toxic_score", score(F.col("text"))).where("_toxic_score < 0.5").select(*docs.columns)
+    return docs.where(score(F.col("text")) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
