@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from checks import recipes as r
 from checks.recipes import sql
 from checks.registry import fill_sql, h_sql, r6, register, text_sql
+from checks.texts import QUIET_SQL
 from tandem.functions import prompt_texts as fixed
 from tandem.functions.judging import SCORES
 from tandem.functions.text import strip_think
 from tandem.operators import enrich
 from tandem.plans import judging, reasoning
-from tandem.plans.preferences import iteration_pairs, plan_iterations
+from tandem.plans.preferences import iteration_pairs, plan_iteration
 from tandem.session import new_path
 from tandem.sources import logs
 from tandem.sources.keyed_log import KeyedLog
@@ -196,6 +197,9 @@ def batch_predict(spark, d):
     return enrich.batch_predict(rows, _predict, text="neutral").select("sample_id", "predicted")
 
 
+r.cte("dpo_prompts", f"select sample_id, {QUIET_SQL} as prompt from clean", "clean")
+
+
 def _rank(row: dict) -> dict | None:
     """Longest text first; every thirteenth sample fails."""
     if row["sample_id"] % 13 == 0:
@@ -217,12 +221,16 @@ def _rank(row: dict) -> dict | None:
                  regexp_replace(t || ' ' || biased, '^\\s+|\\s+$', '', 'g'))) as text) u),
              p as (select *, row_number() over (partition by sample_id order by
                case when sample_id % 13 = 0 then 0 else -len(text) end, id) - 1 as place from c)
-           select a.sample_id, a.text as chosen, b.text as rejected from p a join p b using (sample_id)
-             where (a.place, b.place) in ((0, 1), (0, 3), (1, 3))
-           union all select sample_id, text, biased from p where place < 3""",
+           select sample_id, md5(prompt) as prompt, chosen, rejected from (
+             select a.sample_id, a.text as chosen, b.text as rejected from p a join p b using (sample_id)
+               where (a.place, b.place) in ((0, 1), (0, 3), (1, 3))
+             union all select sample_id, text, biased from p where place < 3)
+           join dpo_prompts using (sample_id)""",
         "clean",
+        "dpo_prompts",
     ),
 )
 def one_iteration(spark, d):
-    planned = plan_iterations(r.clean(spark, d))
-    return iteration_pairs(planned, 1, _respond, _rank).select("sample_id", "chosen", "rejected")
+    planned = plan_iteration(r.clean(spark, d), 1)
+    rows = iteration_pairs(planned, 1, _respond, _rank)
+    return rows.select("sample_id", F.md5("prompt").alias("prompt"), "chosen", "rejected")

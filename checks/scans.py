@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from checks import recipes as r
@@ -12,7 +13,7 @@ from tandem.functions.text import path_slug
 from tandem.operators.ordinals import with_ordinals
 from tandem.operators.ranking import rank_candidates, rank_rows
 from tandem.operators.splits import assign_batches, split_overlap, split_pairs, take_split
-from tandem.session import new_path
+from tandem.session import new_path, stage
 from tandem.sources import corpus, logs
 
 # Every pair as a TSV line; some lines are too long, short, or hold a missing mark.
@@ -157,6 +158,29 @@ def _teacher_log(spark, d) -> str:
     return path
 
 
+@register(
+    "teacher_lines",
+    sql(
+        """WITH v as (select distinct vec_id from teach)
+           select (select count(*) from v where vec_id % 29 = 0) as blank, (select count(*) from v where vec_id % 31 = 0) as broken,
+             count(*) filter (vec_id % 17 = 0 or vec_id % 19 = 0 or vec_id % 23 = 0) as empty,
+             count(*) filter (vec_id % 17 <> 0 and vec_id % 19 <> 0 and vec_id % 23 <> 0) as used from v""",
+        "teach",
+    ),
+)
+def teacher_lines(spark, d):
+    """Counts of the lines of a log, taken while its rows are read and written."""
+    path = _teacher_log(spark, d)
+    vec = F.col("vec_id")
+    others = r.teacher(spark, d).select(F.when(vec % 29 == 0, "  ").alias("a"), F.when(vec % 31 == 0, '{"biased_text": ').alias("b"))
+    others.select(F.explode(F.array("a", "b")).alias("value")).where("value IS NOT NULL").write.mode("append").text(path)
+    counts = Observation("teacher")
+    stage(logs.scan_teacher(spark, path, counts), "teacher-rows")
+    found = counts.get
+    names = ("blank", "broken", "empty", "used")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 @register(
     "scan_teacher",
     sql(

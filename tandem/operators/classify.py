@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.text import words
 from tandem.operators.builders import label_texts
+from tandem.session import stage
 
 # Passes over the data, and the step between logged losses.
 EPOCHS, LOG_EVERY = 3, 10
@@ -71,24 +71,65 @@ def loss_summary(steps: DataFrame, every: int = LOG_EVERY) -> DataFrame:
 def hold_out(pairs: DataFrame, share: float = 0.1, key: str = "sample_id"):
     """(train, held out) by a hash of the key, so both texts of a pair stay together."""
     buckets = 1000
-    held = F.pmod(F.xxhash64(key), F.lit(buckets)) < int(share * buckets)
+    held = F.crc32(F.col(key).cast("string").cast("binary")) % buckets < int(share * buckets)
     return pairs.filter(~held), pairs.filter(held)
 
 
+#: Step of a gradient pass, and the documents of the training set a word must be in.
+LEARNING_RATE, LEAST_TEXTS = 0.5, 2
+
+
+def _word_shares(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, word, x): each word of a text with its share of the text's words."""
+    tokens = F.transform(words(F.col("text")), lambda w: F.struct(w.alias("word"), (1.0 / F.size(words(F.col("text")))).alias("x")))
+    return texts.select(*keys, F.explode(tokens).alias("t")).groupBy(*keys, "t.word").agg(F.sum("t.x").alias("x"))
+
+
+def _margins(shares: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return shares.join(weights, "word").groupBy(*keys).agg(F.sum(F.col("x") * F.col("weight")).alias("margin"))
+
+
+@dataclass(frozen=True)
+class TextClassifier:
+    """A weight for each counted word, and a constant."""
+
+    weights: DataFrame
+    constant: float
+
+
 def train_text_classifier(
-    pairs: DataFrame, passes: int = EPOCHS, features: int = 1 << 14
-) -> PipelineModel:
-    """Source-versus-rewrite classifier on hashed words."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern="[^a-z0-9]+"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(labelCol="label", featuresCol="features", maxIter=passes, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(label_texts(pairs))
-
-
-def classify_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
-    """(sample_id, label, pred) for both texts of each pair."""
-    scored = model.transform(label_texts(pairs))
-    return scored.select("sample_id", "label", F.col("prediction").cast("int").alias("pred"))
+    pairs: DataFrame, passes: int = EPOCHS, rate: float = LEARNING_RATE, least_texts: int = LEAST_TEXTS, key: str = "sample_id"
+) -> TextClassifier:
+    """Source-versus-rewrite logistic regression by ``passes`` full-batch gradient steps.
+
+    Features are the words that at least ``least_texts`` training texts hold,
+    counted exactly, each text's shares summing to 1 over all its words. A pass
+    is one aggregation of margins by text and one of gradients by word; weights
+    are a table, joined by word, so that neither words nor texts have a bound.
+    """
+    texts = stage(label_texts(pairs).select(key, "label", "text"), "classifier-texts")
+    rows = texts.count()
+    keys = [key, "label"]
+    shares = _word_shares(texts, keys)
+    known = shares.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_texts).select("word")
+    weights = stage(known.withColumn("weight", F.lit(0.0)), "classifier-weights")
+    shares = stage(shares.join(known, "word", "left_semi"), "classifier-shares")
+    constant = 0.0
+    for _ in range(passes):
+        scored = texts.select(*keys).join(_margins(shares, weights, keys), keys, "left")
+        chance = 1 / (1 + F.exp(-(F.coalesce("margin", F.lit(0.0)) + constant)))
+        apart = stage(scored.select(*keys, (chance - F.col("label")).alias("apart")), "classifier-apart")
+        slopes = shares.join(apart, keys).groupBy("word").agg(F.sum(F.col("x") * F.col("apart")).alias("slope"))
+        moved = F.col("weight") - F.lit(rate / max(rows, 1)) * F.col("slope")
+        weights = stage(weights.join(slopes, "word").select("word", moved.alias("weight")), "classifier-weights")
+        constant -= rate / max(rows, 1) * (apart.agg(F.sum("apart")).first()[0] or 0.0)
+    return TextClassifier(weights, constant)
+
+
+def classify_pairs(model: TextClassifier, pairs: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(sample_id, label, margin, pred) for both texts of each pair; words without a weight count in the shares alone."""
+    texts = label_texts(pairs).select(key, "label", "text")
+    keys = [key, "label"]
+    margins = _margins(_word_shares(texts, keys), model.weights, keys)
+    margin = (F.coalesce("margin", F.lit(0.0)) + F.lit(model.constant)).alias("margin")
+    return texts.select(*keys).join(margins, keys, "left").select(*keys, margin, (F.coalesce("margin", F.lit(0.0)) + F.lit(model.constant) >= 0).cast("int").alias("pred"))

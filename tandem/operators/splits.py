@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators.bounds import key_bounds, key_range
 from tandem.operators.ordinals import with_ordinals
+from tandem.operators.skew import lookup_join
 from tandem.sources.corpus import drop_null_pairs
 
 # Rows of the splits, counted before null pairs are dropped.
@@ -15,9 +17,6 @@ SPLITS = ("train", "validation", "test", "full")
 # Fixed value: source texts per training iteration.
 BATCH_ROWS = 25
 
-# A top-k beyond this many rows is cut by ordinals, not gathered by one task.
-GATHER_ROWS = 100_000
-
 
 def take_split(
     df: DataFrame,
@@ -27,36 +26,22 @@ def take_split(
     validation: int = VALIDATION_ROWS,
     test: int = TEST_ROWS,
 ) -> DataFrame:
-    """The rows of one split of ``df`` in ``key`` order.
+    """The rows of one split of ``df`` in ``key`` order; keys are unique.
 
     train is the head, validation follows it, test is the tail, full is all.
-    Splits may overlap on small tables.
+    Splits may overlap on small tables. A split is a filter by key range.
     """
     if split not in SPLITS:
         raise ValueError(f"no split named {split}")
     if split == "full":
         return df
-    if max(train + validation, test) > GATHER_ROWS:
-        return _split_by_ordinal(df, split, key, train, validation, test)
-    if split == "train":
-        return df.orderBy(key).limit(train)
-    if split == "validation":
-        return df.orderBy(key).offset(train).limit(validation)
-    return df.orderBy(F.desc(key)).limit(test)
-
-
-def _split_by_ordinal(
-    df: DataFrame, split: str, key: str, train: int, validation: int, test: int
-) -> DataFrame:
-    place = F.col("_place")
+    df = df.where(F.col(key).isNotNull())
     if split == "test":
-        wanted, numbered = place < test, with_ordinals(df, [F.desc(key)], "_place")
-    else:
-        numbered = with_ordinals(df, [key], "_place")
-        wanted = place < train
-        if split == "validation":
-            wanted = (place >= train) & (place < train + validation)
-    return numbered.filter(wanted).drop("_place")
+        return key_range(df, key, *key_bounds(df, key, [-test])) if test else df.limit(0)
+    if split == "train":
+        return key_range(df, key, None, *key_bounds(df, key, [train]))
+    low, high = key_bounds(df, key, [train, train + validation])
+    return df.limit(0) if low is None else key_range(df, key, low, high)
 
 
 def split_pairs(pairs: DataFrame, split: str, **sizes) -> DataFrame:
@@ -65,9 +50,16 @@ def split_pairs(pairs: DataFrame, split: str, **sizes) -> DataFrame:
 
 
 def assign_batches(df: DataFrame, key: str = "sample_id", size: int = BATCH_ROWS) -> DataFrame:
-    """``iteration`` and ``sample_idx`` within it, in ``key`` order."""
-    numbered = with_ordinals(df, [key])
-    return numbered.withColumns(
+    """``iteration`` and ``sample_idx`` within it, in ``key`` order; keys are unique.
+
+    Only keys are sorted and numbered; the rows look their numbers up.
+    """
+    numbered = lookup_join(df, with_ordinals(df.select(key), [key]), [key], "inner")
+    return _numbered(numbered, size)
+
+
+def _numbered(df: DataFrame, size: int) -> DataFrame:
+    return df.withColumns(
         {
             "iteration": F.floor(F.col("row_idx") / size).cast("bigint"),
             "sample_idx": F.col("row_idx") % size,
@@ -75,6 +67,18 @@ def assign_batches(df: DataFrame, key: str = "sample_id", size: int = BATCH_ROWS
     )
 
 
+def batch_rows(df: DataFrame, iteration: int, key: str = "sample_id", size: int = BATCH_ROWS) -> DataFrame:
+    """The rows of one iteration, numbered as ``assign_batches`` does, read by their key range alone."""
+    low, high = key_bounds(df, key, [iteration * size, (iteration + 1) * size])
+    if low is None:
+        rows = df.limit(0)
+    else:
+        rows = key_range(df.where(F.col(key).isNotNull()), key, low, high)
+    # at most ``size`` rows
+    place = F.row_number().over(Window.orderBy(key)) - 1 + F.lit(iteration * size).cast("bigint")
+    return _numbered(rows.withColumn("row_idx", place), size)
+
+
 def split_overlap(df: DataFrame, key: str = "sample_id", text: str = "biased", **sizes) -> DataFrame:
     """For each pair of splits: shared rows, and rows whose text is in the other.
 

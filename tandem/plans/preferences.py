@@ -10,7 +10,7 @@ from tandem.functions.text import strip_think
 from tandem.operators.builders import build_dpo
 from tandem.operators.enrich import MAX_CONCURRENT, Call, call_rows, sample_responses
 from tandem.operators.ranking import candidates, preference_pairs, rank_candidates, rank_rows
-from tandem.operators.splits import BATCH_ROWS, assign_batches
+from tandem.operators.splits import BATCH_ROWS, assign_batches, batch_rows
 from tandem.session import stage
 from tandem.sources.logs import append_rankings
 
@@ -22,6 +22,11 @@ def plan_iterations(pairs: DataFrame, size: int = BATCH_ROWS) -> DataFrame:
     return assign_batches(build_dpo(pairs), size=size)
 
 
+def plan_iteration(pairs: DataFrame, iteration: int, size: int = BATCH_ROWS) -> DataFrame:
+    """The preference prompts of one iteration, from the key range of its pairs."""
+    return build_dpo(batch_rows(pairs, iteration, size=size))
+
+
 def rank_responses(
     rows: DataFrame, call: Call, key: str = "sample_id", max_concurrent: int = MAX_CONCURRENT
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.judging import SCORES, judge_total
@@ -43,18 +43,36 @@ def write_predictions(df: DataFrame, path: str) -> None:
     columns.write.mode("overwrite").options(**_CSV, quoteAll="true", emptyValue="").csv(path)
 
 
-def scan_teacher(spark: SparkSession, path: str) -> DataFrame:
+def scan_teacher(spark: SparkSession, path: str, counts: Observation | None = None) -> DataFrame:
     """Usable teacher answers; blank, broken and empty records are skipped.
 
-    A path that does not exist gives no rows.
+    ``counts`` is given, as the rows are read, the lines that were ``blank``,
+    ``broken`` (no JSON record), ``empty`` (no text or no list) and ``used``. A path
+    that does not exist gives no rows.
     """
+    bad = "_broken string"
     try:
-        rows = spark.read.schema(TEACHER_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], TEACHER_SCHEMA)
-    return rows.filter((F.col("biased_text") != "") & (F.size("logprobs") > 0))
+        lines = spark.createDataFrame([], "value string")
+    blank = F.trim("value") == ""
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    rows = lines.select(F.from_json("value", f"{TEACHER_SCHEMA}, {bad}", options).alias("r"), blank.alias("_blank"))
+    rows = rows.select("r.*", "_blank")
+    broken = ~F.col("_blank") & F.col("_broken").isNotNull()
+    used = ~F.col("_blank") & ~broken & F.coalesce((F.col("biased_text") != "") & (F.size("logprobs") > 0), F.lit(False))
+    rows = rows.withColumns({"_bad": broken, "_used": used})
+    if counts is not None:
+        rows = rows.observe(
+            counts,
+            F.count_if("_blank").alias("blank"),
+            F.count_if("_bad").alias("broken"),
+            F.count_if(~F.col("_blank") & ~F.col("_bad") & ~F.col("_used")).alias("empty"),
+            F.count_if("_used").alias("used"),
+        )
+    return rows.filter("_used").drop("_blank", "_broken", "_bad", "_used")
 
 
 def append_teacher(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from checks.registry import ORACLES, QUERIES
 from checks.run import TABLES, compare
 
 SF_DIR = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"train_text_classifier"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -6,13 +6,14 @@ from collections import Counter
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tandem.operators import skew
+from tandem.operators import bounds, skew
 from tandem.operators.blocks import TokenBlocks
 from tandem.operators.builders import BUILDERS, build_dataset, pair_vocabulary
 from tandem.operators.ordinals import with_file_ordinals, with_ordinals
-from tandem.operators.splits import assign_batches, split_overlap, split_pairs, take_split
+from tandem.operators.splits import assign_batches, batch_rows, split_overlap, split_pairs, take_split
 from tandem.operators.vocabulary import Vocabulary, block_vocabulary
 from tandem.sources import corpus, logs
 
@@ -93,7 +94,9 @@ def test_teacher_scan(spark, folder):
     text = "\n".join([good, "", '{"biased_text":"","logprobs":[{"token":"x","logprob":-1}]}',
                       '{"biased_text":"b","logprobs":[]}', '{"biased_text":"c"}', "{broken", good.replace('"a"', '"d"')])
     write(folder, "t.jsonl", text + "\n")
-    assert sorted(r.biased_text for r in logs.scan_teacher(spark, folder).collect()) == ["a", "d"]
+    counts = Observation("lines")
+    assert sorted(r.biased_text for r in logs.scan_teacher(spark, folder, counts).collect()) == ["a", "d"]
+    assert counts.get == {"blank": 1, "broken": 1, "empty": 3, "used": 2}
     assert logs.scan_teacher(spark, folder + "/none").count() == 0
     assert logs.scan_table(spark, folder + "/none", "a int").count() == 0
 
@@ -134,13 +137,39 @@ def test_splits(spark, monkeypatch):
         assert ids(split) == expected
     assert len(ids("full")) == 40
     assert split_pairs(rows, "train", **sizes).count() == 7
-    monkeypatch.setattr("tandem.operators.splits.GATHER_ROWS", 0)
+    for name, value in (("HELD", 3), ("SAMPLE", 4)):  # the bound is searched for in several rounds
+        monkeypatch.setattr(f"tandem.operators.bounds.{name}", value)
     for split, expected in wanted.items():
         assert ids(split) == expected
     with pytest.raises(ValueError):
         take_split(rows, "other")
 
 
+@pytest.mark.parametrize("text", [False, True])
+def test_key_bounds(spark, monkeypatch, text, folder):
+    for name, value in (("HELD", 20), ("SAMPLE", 8)):
+        monkeypatch.setattr(f"tandem.operators.bounds.{name}", value)
+    values = [f"k{i * 37 % 1000}é{i}" if text else i * i for i in range(700)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], f"k {'string' if text else 'long'}").repartition(4)
+    ranks = [0, 1, 350, 698, 699, 700, -1, -699, -5000]
+    order = sorted(values)
+    want = [order[max(0, 700 + r) if r < 0 else r] if r < 700 else None for r in ranks]
+    assert bounds.key_bounds(rows, "k", ranks) == want
+    rows.write.parquet(folder + "/t")
+    part = take_split(spark.read.parquet(folder + "/t"), "validation", "k", 300, 50, 10)
+    assert sorted(r.k for r in part.collect()) == order[300:350]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(k), GreaterThanOrEqual(k," in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_batch_rows_equal_assigned_batches(spark):
+    rows = spark.range(53).select((F.col("id") * 3 + 1).alias("sample_id"), F.lit("t").alias("text")).repartition(3)
+    every = {r.sample_id: tuple(r) for r in assign_batches(rows, size=10).collect()}
+    for iteration in (0, 3, 5, 6):
+        got = batch_rows(rows, iteration, size=10).select("sample_id", "text", "row_idx", "iteration", "sample_idx").collect()
+        assert {r.sample_id: tuple(r) for r in got} == {k: v for k, v in every.items() if v[3] == iteration}
+
+
 def test_small_corpus_splits_overlap(spark):
     rows = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(9)], "sample_id long, biased string")
     got = split_overlap(rows, train=6, validation=2, test=4).collect()
