@@ -8,7 +8,6 @@ from checks import recipes as r
 from checks.recipes import sql
 from checks.registry import r6, register, text_sql
 from tandem.functions import arrays
-from tandem.functions.text import CLEAN_13A, SPLIT_13A
 from tandem.operators import classify, distil
 from tandem.operators.overlap import bleu, bleu_statistics, overlap_by_sample, rouge_n
 from tandem.operators.sequences import meteor_by_sample, rouge_l_by_sample
@@ -21,12 +20,18 @@ from tandem.session import stage
 
 
 def tokens_13a_sql(text: str) -> str:
-    for pattern, plain in CLEAN_13A:
-        text = f"regexp_replace({text}, {text_sql(pattern)}, {text_sql(plain)}, 'g')"
+    """The published rules, spelled out in SQL's own patterns."""
+    for plain, to in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, {text_sql(plain)}, {text_sql(to)})"
     text = f"(' ' || {text} || ' ')"
-    for pattern, template in SPLIT_13A:
-        shown = text_sql(template.format("", "\\1", "\\2"))
-        text = f"regexp_replace({text}, {text_sql(pattern)}, {shown}, 'g')"
+    signs = r"[!\"#$%&()*+/:;<=>?@\[\\\]^_`{|}~ ]"
+    for pattern, shown in (
+        (f"({signs})", r" \1 "),
+        (r"(\D)([.,])", r"\1 \2 "),
+        (r"([.,])(\D)", r" \1 \2"),
+        (r"(\d)(-)", r"\1 \2 "),
+    ):
+        text = f"regexp_replace({text}, {text_sql(pattern)}, {text_sql(shown)}, 'g')"
     return f"list_filter(regexp_split_to_array({text}, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
 
 

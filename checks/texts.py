@@ -9,14 +9,7 @@ from checks.recipes import sql
 from checks.registry import fill_sql, register, text_sql
 from tandem.functions import prompt_texts as fixed
 from tandem.functions import prompts
-from tandem.functions.text import (
-    OPENER_PATTERN,
-    STRIP_PATTERN,
-    THINK_PATTERN,
-    clean_output,
-    strip_think,
-    transferred,
-)
+from tandem.functions.text import clean_output, strip_think, transferred
 from tandem.operators.builders import build_dpo, build_grpo, label_texts
 
 # Turns as rows: (sample_id, seq, role, content).
@@ -181,18 +174,23 @@ def prompt_cot(spark, d):
     return r.clean(spark, d).select("sample_id", prompts.cot_prompt(F.col("biased")).alias("prompt"))
 
 
-_SPACES = text_sql(STRIP_PATTERN)
+# The SQL has rules of its own: the code points of white space, and the openers one by one.
+_SPACES = " || ".join(
+    f"chr({point})"
+    for point in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+)
+_STOCK = " or ".join(f"starts_with(l, '{opener}')" for opener in ("Okay", "Let me", "I need to", "First", "The user"))
 
 
 def strip_sql(text: str) -> str:
-    return f"regexp_replace({text}, {_SPACES}, '', 'g')"
+    return f"trim({text}, {_SPACES})"
 
 
 @register(
     "strip_think",
     sql(
         "select sample_id, "
-        + strip_sql(f"regexp_replace(response, {text_sql(THINK_PATTERN)}, '', 'g')")
+        + strip_sql("regexp_replace(response, '<think>(.|\\n)*?</think>', '', 'g')")
         + " as text from resp",
         "resp",
     ),
@@ -212,7 +210,7 @@ _AFTER = "substr(response, strpos(response, '<think>') + 7)"
               when contains(response, '<think>') then coalesce(
                 list_extract(list_filter(list_transform(string_split({_AFTER}, chr(10)),
                     lambda l: {strip_sql("l")}),
-                  lambda l: l <> '' and not regexp_matches(l, {text_sql(OPENER_PATTERN)})), 1),
+                  lambda l: l <> '' and not ({_STOCK})), 1),
                 {strip_sql("split_part(response, '<think>', 1)")})
               else {strip_sql("response")} end as text from resp""",
         "resp",

@@ -10,14 +10,16 @@ from checks.registry import r6, register, text_sql
 from checks.texts import PROMPT_TURNS, QUIET_FULL_SQL, QUIET_SQL, rendered_sql
 from tandem.functions import arrays
 from tandem.functions.prompts import ChatTags
-from tandem.functions.text import CHAT_TOKEN_PATTERN, chat_tokens
+from tandem.functions.text import chat_tokens
 from tandem.operators import builders, ranking
 from tandem.operators.blocks import TokenBlocks
 from tandem.operators.vocabulary import FIRST_ID, block_vocabulary
 
 
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, {text_sql(CHAT_TOKEN_PATTERN)})"
+    """Tags, runs of line ends, runs of letters and digits, and single signs that are no white space."""
+    kinds = (r"<\|[_a-z]+\|>", "[\\n]+", "[0-9a-zA-Z]+", "[^\\s0-9a-zA-Z]")
+    return f"regexp_extract_all({text}, {text_sql('|'.join(kinds))})"
 
 
 r.cte(
@@ -373,10 +375,10 @@ def ranking_report(spark, d):
 _PAIRS = " union all ".join(
     f"""select a.sample_id, {at}::BIGINT as pair_idx, a.text as chosen, b.text as rejected
         from places a join places b using (sample_id) where a.place = {x} and b.place = {y}"""
-    for at, (x, y) in enumerate(ranking.BETTER_WORSE)
+    for at, (x, y) in enumerate(((0, 1), (0, 3), (1, 3)))
 ) + "".join(
     f""" union all select sample_id, {at + 3}::BIGINT, text, biased from places where place = {x}"""
-    for at, x in enumerate(ranking.AGAINST_SOURCE)
+    for at, x in enumerate((0, 1, 2))
 )
 
 
