@@ -61,6 +61,27 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [found.getPath().getName() for found in store.listStatus(place)] if store.exists(place) else []
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, then renamed."""
+    place, store = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not store.rename(draft, place):
+        raise OSError(f"{path} was not written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file that ``write_text`` wrote."""
+    place, store = _place(spark, path)
+    source = store.open(place)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 @contextmanager
 def job(spark: SparkSession) -> Iterator[None]:
     """Remove, at its end, every table staged inside; write or collect what is wanted before."""

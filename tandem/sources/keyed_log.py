@@ -13,23 +13,20 @@ merge after it, when merged commits are removed.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tandem.session import children, remove
+from tandem.session import children, read_text, remove, write_text
 
 #: Buckets of a new log, and commits of a level that are merged.
 BUCKETS, FAN = 16, 8
 
-_MANIFEST = "commit string, level int, buckets array<int>, batch bigint, retired boolean, n int, version bigint"
-
-
 class Entry(NamedTuple):
     """A commit of the manifest; without a name it only marks the last batch."""
 
@@ -58,16 +55,14 @@ class KeyedLog:
         self.spark, self.path, self.key, self.fan = spark, path.rstrip("/"), key, fan
         self.fields = f"`{key}` {key_type}, {fields}, revision bigint"
         self._stored = f"_hash binary, _at bigint, {self.fields}"
-        try:
-            versions = spark.read.schema(_MANIFEST).json(f"{self.path}/manifest").collect()  # a few versions of a few commits
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            versions = []
-        self._version = max((r.version for r in versions), default=0)
-        now = [r for r in versions if r.version == self._version]
-        self._entries = [Entry(r.commit, r.level, r.buckets, r.batch, r.retired) for r in now]
-        self.n = now[0].n if now else buckets  # a log keeps the buckets it began with
+        names = [n for n in children(spark, f"{self.path}/manifest") if n.startswith("v") and n.endswith(".json")]
+        self._version = max((int(n[1:-5]) for n in names), default=0)
+        now = json.loads(read_text(spark, self._manifest(self._version))) if names else {"buckets": buckets, "entries": []}
+        self._entries = [Entry(**entry) for entry in now["entries"]]
+        self.n = now["buckets"]  # a log keeps the buckets it began with
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest/v{version}.json"
 
     def bucket(self, hashed: Column) -> Column:
         return F.pmod(F.xxhash64(hashed), F.lit(self.n)).cast("int")
@@ -119,11 +114,10 @@ class KeyedLog:
 
     def _publish(self, entries: list[Entry]) -> None:
         self._version += 1
-        rows = [(*e, self.n, self._version) for e in entries]
-        frame = self.spark.createDataFrame(rows, _MANIFEST)
-        frame.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v={self._version}")
+        now = {"buckets": self.n, "entries": [e._asdict() for e in entries]}
+        write_text(self.spark, self._manifest(self._version), json.dumps(now))
         self._entries = entries
-        remove(self.spark, f"{self.path}/manifest/v={self._version - 2}")
+        remove(self.spark, self._manifest(self._version - 2))
 
     def append(self, rows: DataFrame, batch: int | None = None) -> None:
         """Add rows (key, fields and, unless it is now, revision) as one commit; rows without a key are left out.
