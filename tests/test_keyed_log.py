@@ -32,7 +32,7 @@ def test_latest_over_commits_and_merges(spark, folder):
         assert now.n == 4 and now.holds_batch(8) and not now.holds_batch(9)
     levels = [e.level for e in log.commits]
     assert len(levels) <= 4 and max(levels) >= 2 and all(levels.count(x) < 2 for x in levels)
-    assert len(os.listdir(folder + "/log/manifest")) <= 3
+    assert len([n for n in os.listdir(folder + "/log/manifest") if n.endswith(".json")]) <= 2
     log.append(rows(spark, []), batch=12)  # a batch without answers is known as well
     assert opened(spark, folder).holds_batch(12) and len(opened(spark, folder).latest().collect()) == len(want)
 
