@@ -43,6 +43,32 @@ def judge_enrich(spark, d):
     return scored.select("sample_id", *SCORES, "ok", "score", "tag")
 
 
+def _fails(row: dict) -> dict | None:
+    """Every third text has no answer, every fifth an error."""
+    if row["sample_id"] % 5 == 0:
+        raise ValueError("no room")
+    return None if row["sample_id"] % 3 == 0 else {"n": row["sample_id"]}
+
+
+@register(
+    "failed_calls",
+    sql(
+        """select sample_id, case when sample_id % 5 <> 0 and sample_id % 3 <> 0 then sample_id end as n,
+             sample_id % 5 <> 0 and sample_id % 3 <> 0 as ok, case
+               when sample_id % 5 = 0 then '[' || chr(39) || substr(shown, 1, 50) || chr(39) || ']: no room'
+               when sample_id % 3 = 0 then 'no answer' end as error
+           from (select sample_id, regexp_replace(biased, '[^a-zA-Z]', '_', 'g') as shown from pairs)""",
+        "pairs",
+    ),
+)
+def failed_calls(spark, d):
+    """What is kept of calls that fail: the first signs of the key and the message."""
+    shown = F.regexp_replace("biased", "[^a-zA-Z]", "_").alias("shown")
+    rows = r.pairs(spark, d).select("sample_id", shown)
+    called = r.staged(enrich.call_rows(rows, _fails, "n bigint", ["shown"]))
+    return called.drop("shown")
+
+
 @register(
     "judge_log",
     sql(

@@ -105,6 +105,22 @@ def pad_truncate(spark, d):
     )
 
 
+@register(
+    "pad_or_end",
+    sql(
+        f"""WITH t as (select sample_id, {_IDS} as ids, case when sample_id % 2 = 0 then 7 end as pad, 99 as eos from pairs)
+            select sample_id, array_to_string(list_concat(list_slice(ids, 1, 16),
+              list_transform(range(16 - least(len(ids), 16)), lambda i: coalesce(pad, eos))), ',') as padded from t""",
+        "pairs",
+    ),
+)
+def pad_or_end(spark, d):
+    """Rows of a tokenizer without a padding id are filled with the end id."""
+    rows = r.pairs(spark, d).select("sample_id", _ids("biased").alias("ids"))
+    pad = arrays.pad_id_or_eos(F.when(F.col("sample_id") % 2 == 0, 7), F.lit(99))
+    return rows.select("sample_id", arrays.pad_truncate(F.col("ids"), 16, pad).alias("padded"))
+
+
 # The prompt is the first words of the same text; ids 2 and 3 count as newlines.
 _LABELS = f"""WITH t as (select sample_id, {_padded_sql("ids", 512, "right")} as full_ids,
     least(sample_id % 40, len(ids), 512) as prompt_len
