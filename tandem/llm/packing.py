@@ -28,7 +28,7 @@ CAPACITY = 4096
 #: Rests of at most this part of the capacity, and classes that leave at most this part unused, are not cut.
 SMALL, WASTE = 1 / 32, 0.02
 #: Bytes of text encoded at once.
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 #: Workers whose incomplete sequences are cut anew together.
 WORKERS_A_GROUP = 8
 
@@ -59,7 +59,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _filled(capacity: int, path: str, end_id: int, keep_ids: bool):
+def _filled(capacity: int, path: str, end_id: int, keep_ids: bool, piece: int):
     schema = pa.schema(
         [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [("ids", pa.binary()), ("_worker", pa.int32()), ("_at", pa.int64())]
@@ -77,7 +77,7 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool):
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-        for batch in pieces(batches, most=_PIECE):
+        for batch in pieces(batches, most=piece):
             rows: list = []
             ids, sizes = encoder.encode_all(batch.column(1), end_id)
             data, first = memoryview(ids.astype("<u4").tobytes()), 0
@@ -138,6 +138,7 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = 2,
     keep_ids: bool = False,
+    piece: int = _PIECE,
 ) -> DataFrame:
     """Pack the token ids of whole texts into sequences of at most ``capacity`` ids.
 
@@ -146,11 +147,12 @@ def pack(
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with ``keep_ids`` the little-endian 32-bit ids. Each id lies in one piece.
     Repeated rows are packed each for itself; a null doc_id stays null. An empty
-    table gives an empty result. A text file of the vocabulary is named by path.
+    table gives an empty result. A text file of the vocabulary is named by path;
+    a worker encodes ``piece`` bytes of text at once, which bounds its memory alone.
     """
     filled = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-            _filled(capacity, tokenizer, end_id, keep_ids), _LEFT
+            _filled(capacity, tokenizer, end_id, keep_ids, piece), _LEFT
         ),
         "packed",
     )

@@ -111,7 +111,10 @@ class WordEncoder:
         sizes = self.known.sizes[own]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.known.ids[np.repeat(self.known.starts[own] - (ends - sizes), sizes) + np.arange(total)]
+        kind = np.int32 if max(total, len(self.known.ids)) < 1 << 31 else np.int64
+        places = np.arange(total, dtype=kind)
+        places += np.repeat((self.known.starts[own] - (ends - sizes)).astype(kind), sizes)
+        ids = self.known.ids[places]
         stops = np.append(0, ends)[np.cumsum(counts)]
         if end_id is not None:
             ids = np.insert(ids, stops, end_id)

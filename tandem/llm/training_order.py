@@ -30,7 +30,7 @@ LENGTH, END_ID = 2048, 2
 #: Sequences of a shard: 16 MiB of 16-bit ids.
 SHARD = 4096
 #: Bytes of text encoded at once.
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 KEY, ROUNDS = 20240607, 4
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Entries a worker's table of word ids, or of word hashes, may hold before it starts afresh.
-CACHE_WORDS, CACHE_HASHES = 800_000, 200_000
+CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
 
 
 def text_or_empty(text: Column | str) -> Column:
@@ -33,11 +34,21 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on and runs tasks of other stages beside the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that long texts do not pile up."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 class WordHashes(dict):
@@ -88,6 +99,7 @@ def cut(texts: pa.Array, signs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose texts hold at most ``most`` bytes, or a single longer text."""
+    give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
         before = np.cumsum(sizes, dtype=np.int64) - sizes
@@ -95,3 +107,4 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
         at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
         for start, end in zip(at, np.append(at[1:], batch.num_rows), strict=True):
             yield batch.slice(int(start), int(end - start))
+    give_back()

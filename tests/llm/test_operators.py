@@ -95,7 +95,7 @@ def test_overlaps():
     assert minhash.overlaps(sets[:4], sets[2:]).tolist() == wanted
     linked = np.ones((2, 3), bool)
     ids = np.arange(3)
-    assert len(minhash._joining(linked, ids[:2], ids[:2], ids + 5, ids)) == 2
+    assert len(minhash.joining(linked, ids[:2], ids[:2], ids + 5, ids)) == 2
 
 
 def test_components(spark):
