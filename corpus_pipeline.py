@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), piece=1 << 20)
 
 
 STAGES = [
