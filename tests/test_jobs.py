@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +411,13 @@ def test_commits_keep_repeated_texts(spark, folder):
         for n in (1, 4)
     }
     assert sizes == {1: 30, 4: 30}
+
+
+def test_calls_hold_few_rows_and_send_back_no_requests(spark):
+    """A worker held a whole batch of requests as Python objects, and sent them back."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(600))})
+    assert [b.num_rows for b in enrich.held(iter([batch]))] == [256, 256, 88]
+    rows = source(spark, [str(i) for i in range(600)]).withColumn("request", F.col("biased")).coalesce(1)
+    called = enrich.call_rows(rows, lambda row: {"n": int(row["request"])}, "n long", ["sample_id"], only_asked=["request"])
+    assert called.columns == ["sample_id", "biased", "n", "ok", "error"]
+    assert all(r.ok and r.n == r.sample_id for r in called.collect())
