@@ -238,3 +238,20 @@ def test_text_classifier_learns(spark):
     assert train.count() + held.count() == 200
     scored = classify.classify_pairs(classify.train_text_classifier(train), held)
     assert classify.accuracy(scored).first().accuracy == 1.0
+
+
+def test_meteor_keeps_tokens_in_their_row(spark):
+    """Sorting unfolded tokens by sample, side and word spilled several times the texts."""
+    table = spark.createDataFrame([("runs", "run"), ("run", "run")], "word string, class string")
+    rows = texts(spark, [("a b runs", "a run b"), ("a", "a")])
+    got = meteor_by_sample(rows, classes=[table])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning(sample_id" in plan
+    assert [(r.matches, r.chunks) for r in got.orderBy("sample_id").collect()] == [(3, 3), (1, 1)]
+
+
+def test_meteor_of_equal_and_null_keys(spark):
+    some = [(1, "a b", "a c"), (1, "d", "d a"), (None, "a", "a"), (2, None, "a"), (3, "b", None)]
+    rows = spark.createDataFrame(some, "sample_id long, predicted string, neutral string")
+    got = {r.sample_id: (r.matches, r.chunks, r.predicted_words, r.reference_words) for r in meteor_by_sample(rows).collect()}
+    assert got == {1: (2, 2, 3, 4), None: (1, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
