@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import words
 from tandem.operators.builders import label_texts
+from tandem.operators.skew import lookup_join
 from tandem.session import stage
 
 # Passes over the data, and the step between logged losses.
@@ -80,13 +81,20 @@ LEARNING_RATE, LEAST_TEXTS = 0.5, 2
 
 
 def _word_shares(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, word, x): each word of a text with its share of the text's words."""
-    tokens = F.transform(words(F.col("text")), lambda w: F.struct(w.alias("word"), (1.0 / F.size(words(F.col("text")))).alias("x")))
-    return texts.select(*keys, F.explode(tokens).alias("t")).groupBy(*keys, "t.word").agg(F.sum("t.x").alias("x"))
+    """(keys, rows, shares): the words of a text, each occurrence with its share of the text's words; texts of equal keys in one row."""
+    listed = texts.select(*keys, words(F.col("text")).alias("_words"))
+    shares = F.transform("_words", lambda w: F.struct(w.alias("word"), (1.0 / F.size("_words")).alias("x")))
+    return listed.select(*keys, shares.alias("_shares")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("_shares")).alias("shares")
+    )
 
 
 def _margins(shares: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return shares.join(weights, "word").groupBy(*keys).agg(F.sum(F.col("x") * F.col("weight")).alias("margin"))
+    """(keys, rows, margin) of every row of ``shares``; null without a word that has a weight, or without a key."""
+    unfolded = shares.select(*keys, "rows", F.explode_outer("shares").alias("_t")).select(*keys, "rows", "_t.*")
+    margin = F.when(F.col(keys[0]).isNotNull(), F.sum(F.col("x") * F.col("weight")))
+    found = lookup_join(unfolded, weights, ["word"], spread_by=[*keys, "x"])
+    return found.groupBy(*keys).agg(F.max("rows").alias("rows"), margin.alias("margin"))
 
 
 @dataclass(frozen=True)
@@ -106,20 +114,21 @@ def train_text_classifier(
     counted exactly, each text's shares summing to 1 over all its words. A pass
     is one aggregation of margins by text and one of gradients by word; weights
     are a table, joined by word, so that neither words nor texts have a bound.
+    The words of a text stay in its row, and are unfolded where they are summed.
     """
-    texts = stage(label_texts(pairs).select(key, "label", "text"), "classifier-texts")
-    rows = texts.count()
     keys = [key, "label"]
-    shares = _word_shares(texts, keys)
-    known = shares.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_texts).select("word")
+    shares = stage(_word_shares(label_texts(pairs).select(*keys, "text"), keys), "classifier-shares")
+    rows = shares.agg(F.sum("rows")).first()[0] or 0
+    held = shares.select(F.explode(F.array_distinct("shares.word")).alias("word"))
+    known = held.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_texts).select("word")
     weights = stage(known.withColumn("weight", F.lit(0.0)), "classifier-weights")
-    shares = stage(shares.join(known, "word", "left_semi"), "classifier-shares")
     constant = 0.0
     for _ in range(passes):
-        scored = texts.select(*keys).join(_margins(shares, weights, keys), keys, "left")
         chance = 1 / (1 + F.exp(-(F.coalesce("margin", F.lit(0.0)) + constant)))
-        apart = stage(scored.select(*keys, (chance - F.col("label")).alias("apart")), "classifier-apart")
-        slopes = shares.join(apart, keys).groupBy("word").agg(F.sum(F.col("x") * F.col("apart")).alias("slope"))
+        scored = _margins(shares, weights, keys)
+        apart = stage(scored.select(*keys, (F.col("rows") * (chance - F.col("label"))).alias("apart")), "classifier-apart")
+        unfolded = shares.join(apart, keys).select("apart", F.explode("shares").alias("_t"))
+        slopes = unfolded.groupBy("_t.word").agg(F.sum(F.col("_t.x") * F.col("apart")).alias("slope"))
         moved = F.col("weight") - F.lit(rate / max(rows, 1)) * F.col("slope")
         weights = stage(weights.join(slopes, "word").select("word", moved.alias("weight")), "classifier-weights")
         constant -= rate / max(rows, 1) * (apart.agg(F.sum("apart")).first()[0] or 0.0)
@@ -130,6 +139,6 @@ def classify_pairs(model: TextClassifier, pairs: DataFrame, key: str = "sample_i
     """(sample_id, label, margin, pred) for both texts of each pair; words without a weight count in the shares alone."""
     texts = label_texts(pairs).select(key, "label", "text")
     keys = [key, "label"]
-    margins = _margins(_word_shares(texts, keys), model.weights, keys)
+    margins = _margins(_word_shares(texts, keys), model.weights, keys).drop("rows")
     margin = (F.coalesce("margin", F.lit(0.0)) + F.lit(model.constant)).alias("margin")
     return texts.select(*keys).join(margins, keys, "left").select(*keys, margin, (F.coalesce("margin", F.lit(0.0)) + F.lit(model.constant) >= 0).cast("int").alias("pred"))

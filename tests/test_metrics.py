@@ -255,3 +255,12 @@ def test_meteor_of_equal_and_null_keys(spark):
     rows = spark.createDataFrame(some, "sample_id long, predicted string, neutral string")
     got = {r.sample_id: (r.matches, r.chunks, r.predicted_words, r.reference_words) for r in meteor_by_sample(rows).collect()}
     assert got == {1: (2, 2, 3, 4), None: (1, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
+
+
+def test_classifier_reads_the_words_of_a_text_once(spark):
+    """Within a lambda the text was cut again for every one of its words."""
+    rows = spark.createDataFrame([(1, 0, "a b a"), (1, 0, "c"), (2, 1, None)], "sample_id long, label int, text string")
+    shares = classify._word_shares(rows, ["sample_id", "label"])
+    assert shares._jdf.queryExecution().executedPlan().toString().count("split(lower(") == 1
+    got = {r.sample_id: (r.rows, sorted((t.word, round(t.x, 3)) for t in r.shares)) for r in shares.collect()}
+    assert got == {1: (2, [("a", 0.333), ("a", 0.333), ("b", 0.333), ("c", 1.0)]), 2: (1, [])}
