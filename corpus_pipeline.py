@@ -14,8 +14,18 @@ from tandem.llm.queries import table, vocabulary
 from tandem.session import stage
 
 
+#: Rows that go to a Python worker at once: texts are long, and a batch lies in the executor and in its worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_ROWS`` rows from here on, whatever the session had."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 by a classifier learnt from the labels that are not held out."""
+    small_batches(spark)
     score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return docs.where(score(F.col("text")) < 0.5)
 
@@ -27,6 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near-copies the row with the smallest doc_id."""
+    small_batches(spark)
     return minhash.without_near_duplicates(docs)
 
 
@@ -37,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), piece=1 << 20)
 
 

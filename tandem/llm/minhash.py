@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm.components import components
 from tandem.llm.tables import bounded_join, unused
-from tandem.llm.words import WordHashes, slices, text_bytes
+from tandem.llm.words import KEPT, WordHashes, slices, text_bytes
 from tandem.operators.ordinals import with_ordinals
 from tandem.session import stage
 
@@ -44,6 +44,9 @@ _BLOCK, _BLOCK_SHINGLES, _COLUMNS = 256, 1 << 20, 1 << 12
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _HASHES = WordHashes()
+#: The name of that table among those a worker keeps.
+_TABLE = "shingle words"
+KEPT[_TABLE] = _HASHES.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,7 +125,7 @@ def survives(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, table=_TABLE):
         sets = [shingles(t) for t in text_bytes(batch)]
         full = [i for i, s in enumerate(sets) if len(s)]
         names: list = [None] * len(sets)
@@ -178,7 +181,7 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, table=_TABLE):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([shingles(t).tobytes() for t in text_bytes(batch)], pa.binary())],
             ["doc_id", "shingles"],
@@ -187,7 +190,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, _TABLE):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.token_ids import word_encoder
+from tandem.llm.token_ids import TABLE, word_encoder
 from tandem.llm.words import pieces
 from tandem.session import stage
 
@@ -77,7 +77,7 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool, piece: int):
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-        for batch in pieces(batches, most=piece):
+        for batch in pieces(batches, most=piece, table=TABLE):
             rows: list = []
             ids, sizes = encoder.encode_all(batch.column(1), end_id)
             data, first = memoryview(ids.astype("<u4").tobytes()), 0

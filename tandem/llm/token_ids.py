@@ -23,6 +23,9 @@ from tandem.llm import words
 
 _MARK = "\x01"
 _ENCODERS: dict[str, WordEncoder] = {}
+#: The name of the encoders among the tables a worker keeps.
+TABLE = "encoders"
+words.KEPT[TABLE] = _ENCODERS.clear
 
 
 class WordEncoder:

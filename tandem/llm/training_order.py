@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.token_ids import word_encoder
+from tandem.llm.token_ids import TABLE, word_encoder
 from tandem.llm.words import pieces
 from tandem.session import new_path, stage
 
@@ -75,7 +75,7 @@ def _cut(path: str, length: int, end_id: int):
             full = np.concatenate((ids, np.full(length - len(ids), end_id, "<u2"))).tobytes()
             return (worker, at, first, len(ids), zlib.crc32(full), squeeze.compress(full))
 
-        for batch in pieces(batches, most=_PIECE):
+        for batch in pieces(batches, most=_PIECE, table=TABLE):
             ids, sizes = encoder.encode_all(batch.column(1), end_id)
             docs = [first, *batch.column(0).to_pylist()]
             stops = np.cumsum(np.append(len(held), sizes))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +34,28 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def give_back() -> None:
-    """Return free memory to the system: a worker lives on and runs tasks of other stages beside the next."""
+#: What empties the table that a worker keeps from task to task, by the table's name.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(table: str | None = None) -> None:
+    """Empty the tables of other operators and return free memory to the system: a worker lives on and runs tasks of other stages."""
+    for name, empty in KEPT.items():
+        if name != table:
+            empty()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, so that long texts do not pile up."""
-    give_back()
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, table: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that long texts do not pile up; of the tables in ``KEPT`` only ``table`` stays."""
+    give_back(table)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    give_back()
+    give_back(table)
 
 
 class WordHashes(dict):
@@ -97,9 +104,11 @@ def cut(texts: pa.Array, signs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(starts, ends))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts hold at most ``most`` bytes, or a single longer text."""
-    give_back()
+def pieces(
+    batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20, table: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts hold at most ``most`` bytes, or a single longer text; of the tables in ``KEPT`` only ``table`` stays."""
+    give_back(table)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
         before = np.cumsum(sizes, dtype=np.int64) - sizes
@@ -107,4 +116,4 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
         at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
         for start, end in zip(at, np.append(at[1:], batch.num_rows), strict=True):
             yield batch.slice(int(start), int(end - start))
-    give_back()
+    give_back(table)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tandem.llm import token_ids, training_order
+from tandem.llm import minhash, token_ids, training_order, words
 from tandem.llm.queries import vocabulary
 
 SIGNS = [*"aAbBzZ019.,!?;:'\"-_()<|>#@", "é", "É", "ß", "İ", "ﬁ", "中", "é", "​", "\x01", "\xa0", "😀"]
@@ -33,3 +33,11 @@ def test_wide_vocabulary_is_refused(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(Exception, match="16 bits"):
         training_order.materialise(docs, vocabulary("word_bpe_49k.json"), end_id=70_000)
+
+
+def test_a_worker_keeps_no_tables_of_other_operators():
+    minhash.shingles(b"a b c d e f")
+    list(words.slices(iter([]), table="shingle words"))
+    assert len(minhash._HASHES) == 6
+    list(words.pieces(iter([]), table=token_ids.TABLE))
+    assert len(minhash._HASHES) == 0
