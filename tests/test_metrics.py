@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators import classify
 from tandem.operators.overlap import bleu, bleu_statistics, overlap_by_sample, rouge_n
-from tandem.operators.sequences import _common_length, meteor_by_sample, rouge_l_by_sample
+from tandem.operators.sequences import _common_length, lcs_length, meteor_by_sample, rouge_l_by_sample
 from tandem.operators.similarity import _greedy_f1, greedy_match_by_sample, similarity_by_sample
 from tandem.plans.evaluate import METRICS, evaluate, score_samples
 
@@ -264,3 +264,10 @@ def test_classifier_reads_the_words_of_a_text_once(spark):
     assert shares._jdf.queryExecution().executedPlan().toString().count("split(lower(") == 1
     got = {r.sample_id: (r.rows, sorted((t.word, round(t.x, 3)) for t in r.shares)) for r in shares.collect()}
     assert got == {1: (2, [("a", 0.333), ("a", 0.333), ("b", 0.333), ("c", 1.0)]), 2: (1, [])}
+
+
+def test_common_length_over_many_rows_of_a_batch(spark):
+    rows = [(i, [f"w{j % (i % 7 + 1)}" for j in range(i % 5)], [f"w{j % 3}" for j in range(i % 4)]) for i in range(600)]
+    frame = spark.createDataFrame([*rows, (600, None, ["a"])], "i int, a array<string>, b array<string>").coalesce(1)
+    got = {r.i: r.n for r in frame.select("i", lcs_length("a", "b").alias("n")).collect()}
+    assert got == {i: _common_length(a, b) for i, a, b in rows} | {600: 0}
