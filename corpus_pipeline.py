@@ -16,6 +16,8 @@ from tandem.session import stage
 
 #: Rows that go to a Python worker at once: texts are long, and a batch lies in the executor and in its worker.
 BATCH_ROWS = 1000
+#: Bytes of text that packing encodes at once, and words it remembers: a worker lives on beside the JVM that the earlier stages filled.
+PIECE, KNOWN_WORDS = 1 << 19, 50_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -49,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     small_batches(spark)
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), piece=1 << 20)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), piece=PIECE, known_words=KNOWN_WORDS)
 
 
 STAGES = [

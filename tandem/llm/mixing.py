@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ SEED = 17
 #: The flow is solved on the driver; beyond so many patterns the membership is not a mix of sources.
 MOST_PATTERNS = 20_000
 _CELLS = 1 << 16
+_PLANNED = pa.schema(
+    [("_names", pa.list_(pa.string())), ("source_size", pa.int64()), ("target", pa.float64()), ("_passes", pa.int64()), ("_rest", pa.int64())]
+)
 
 
 def word_count(text: Column | str) -> Column:
@@ -174,8 +178,9 @@ def mix(
             (list(names), sizes[first] if names else 0, targets[first] if names else 0.0, passes, rest)
         )
     spark = docs.sparkSession
+    # from Arrow: rows of a Python list would go through Python workers of their own, which stay in the executors
     planned = spark.createDataFrame(
-        plan, "_names array<string>, source_size long, target double, _passes long, _rest long"
+        pa.Table.from_pylist([dict(zip(_PLANNED.names, row, strict=True)) for row in plan], _PLANNED)
     )
     # at most MOST_PATTERNS rows
     joined = slim.join(F.broadcast(planned), "_names")

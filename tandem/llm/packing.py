@@ -59,7 +59,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _filled(capacity: int, path: str, end_id: int, keep_ids: bool, piece: int):
+def _filled(capacity: int, path: str, end_id: int, keep_ids: bool, piece: int, known_words: int | None):
     schema = pa.schema(
         [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [("ids", pa.binary()), ("_worker", pa.int32()), ("_at", pa.int64())]
@@ -79,7 +79,7 @@ def _filled(capacity: int, path: str, end_id: int, keep_ids: bool, piece: int):
 
         for batch in pieces(batches, most=piece, table=TABLE):
             rows: list = []
-            ids, sizes = encoder.encode_all(batch.column(1), end_id)
+            ids, sizes = encoder.encode_all(batch.column(1), end_id, known_words)
             data, first = memoryview(ids.astype("<u4").tobytes()), 0
             for doc_id, total in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
                 for start, length, fits in cuts(total, capacity):
@@ -139,6 +139,7 @@ def pack(
     end_id: int = 2,
     keep_ids: bool = False,
     piece: int = _PIECE,
+    known_words: int | None = None,
 ) -> DataFrame:
     """Pack the token ids of whole texts into sequences of at most ``capacity`` ids.
 
@@ -148,11 +149,12 @@ def pack(
     with ``keep_ids`` the little-endian 32-bit ids. Each id lies in one piece.
     Repeated rows are packed each for itself; a null doc_id stays null. An empty
     table gives an empty result. A text file of the vocabulary is named by path;
-    a worker encodes ``piece`` bytes of text at once, which bounds its memory alone.
+    a worker encodes ``piece`` bytes of text at once and remembers the ids of about twice ``known_words`` words
+    (or ``words.CACHE_WORDS``), which bound its memory alone.
     """
     filled = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-            _filled(capacity, tokenizer, end_id, keep_ids, piece), _LEFT
+            _filled(capacity, tokenizer, end_id, keep_ids, piece, known_words), _LEFT
         ),
         "packed",
     )

@@ -95,9 +95,15 @@ class WordEncoder:
         data = found.buffers()[2].to_pybytes().lower()
         return any(token in data for _, token in self.added)
 
-    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after the other, and each text's number of ids), with ``end_id`` after each text."""
-        if len(self.known.number) > words.CACHE_WORDS:
+    def encode_all(
+        self, texts: pa.Array, end_id: int | None = None, known_words: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, and each text's number of ids), with ``end_id`` after each text.
+
+        Tables of more than ``known_words`` words (or ``CACHE_WORDS``) are not carried on; the ids are the same.
+        """
+        most = words.CACHE_WORDS if known_words is None else known_words
+        if len(self.known.number) > most:
             self.older, self.known = self.known, _Table()
         found, counts = words.cut(texts, words.PLAIN)
         # words that hold an added token keep their case, so that it and the token have their own ids
